@@ -119,13 +119,10 @@ def _replay_gap(trips_: DataFrame) -> DataFrame:
 
 def _skip_malformed(trips_: DataFrame) -> DataFrame:
     """Trips to JSON and back; events of some zones are damaged on the way and must be skipped."""
-    events = replay.to_events(trips_.drop("period")).withColumn("zone", F.get_json_object("value", f"$.{C.PICKUP_ZONE}"))
-    broken = (
-        F.when(F.col("zone").cast("int") % 10 == 1, F.concat(F.lit("{broken "), F.col("value")))
-        .when(F.col("zone").cast("int") % 10 == 2, F.regexp_replace("value", '"fare_amount":[^,]*', '"fare_amount":"x"'))
-        .otherwise(F.col("value"))
-    )
-    decoded = trips.decode_trips(events.select(broken.alias("value")))
+    text = F.col("value")
+    text = F.regexp_replace(text, r'"PULocationID":(\d*1),', '"PULocationID" $1,')
+    text = F.regexp_replace(text, r'"PULocationID":\d*2,', '"PULocationID":"x",')
+    decoded = trips.decode_trips(replay.to_events(trips_.drop("period")).select(text.alias("value")))
     return decoded.groupBy(C.PICKUP_ZONE).agg(
         F.count(F.lit(1)).alias("trips"),
         F.min(C.PICKUP).alias("first_pickup"),

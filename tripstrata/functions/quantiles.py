@@ -19,13 +19,18 @@ _RESOLUTION = 1000.0
 def _bucket(value: Column) -> Column:
     # log(1 + |x| * r) never decreases with |x|, so buckets keep the order of values.
     size = F.floor(F.log(F.lit(1.0) + F.abs(value) * F.lit(_RESOLUTION)) * F.lit(_STEPS_PER_E))
-    return F.when(value < 0, -size).otherwise(size)
+    return F.coalesce(F.when(value < 0, -size).otherwise(size), F.lit(0))
 
 
 def exact_percentiles(
     df: DataFrame, value: str, wanted: Mapping[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per group (one in all without keys): ``keys`` and a column per entry of ``wanted``."""
+    """One row per group (one in all without keys): ``keys`` and a column per entry of ``wanted``.
+
+    The input is scanned once. Values are counted on one shuffle, which both the bucket totals and
+    the final pick read; the null-safe join keeps it that way, since a plain equality would filter
+    one of the two sides for NULL keys (and lose the group of NULL keys).
+    """
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
@@ -54,11 +59,15 @@ def exact_percentiles(
         for index in (F.floor(rank(p)), F.ceil(rank(p))):
             hit = hit | covers(index, F.col("_before"), F.col("_in_bucket"))
     targets = buckets.where(hit).drop("_in_bucket")
+    targets = targets.withColumnsRenamed({key: f"_target_{key}" for key in [*keys, "_bucket"]})
+    same = F.col("_bucket") == F.col("_target__bucket")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_target_{key}"))
 
     inside = (
         Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = counts.join(targets, [*keys, "_bucket"]).withColumn(
+    placed = counts.join(targets, same).withColumn(
         "_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     )
 

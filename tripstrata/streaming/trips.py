@@ -18,11 +18,15 @@ _EVENT = T.StructType([*schemas.SILVER.fields, T.StructField(_CORRUPT, T.StringT
 
 
 def decode_trips(events: DataFrame) -> DataFrame:
-    """Trips from JSON text in ``value``; an event that does not decode is skipped."""
+    """Trips from JSON text in ``value``; an event that does not decode is skipped.
+
+    ``inline`` over a filtered one-element array parses each text once. A plain filter on the
+    parsed struct would be pushed below it and parse again.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     trip = F.from_json(F.col("value").cast("string"), _EVENT, options)
-    decoded = events.select(trip.alias("trip")).where(F.col("trip").isNotNull() & F.col(f"trip.{_CORRUPT}").isNull())
-    return decoded.select(*[f"trip.{name}" for name in schemas.SILVER.names])
+    decoded = F.filter(F.array(trip), lambda t: t.isNotNull() & t[_CORRUPT].isNull())
+    return events.select(F.inline(decoded)).drop(_CORRUPT)
 
 
 def stream_trips(
