@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
+            "spark.sql.maxMetadataStringLength": "4000",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },
@@ -58,7 +59,5 @@ def lake_root(spark, small, tmp_path_factory) -> str:
 
 
 def write_landing(bronze, landing: str) -> None:
-    """One ``YYYY-MM.parquet`` folder per period."""
-    for row in bronze.select("period").distinct().collect():
-        month = bronze.where(bronze.period == row.period).drop("period")
-        month.coalesce(1).write.mode("overwrite").parquet(f"{landing}/{row.period}.parquet")
+    """One folder per period."""
+    bronze.coalesce(1).write.partitionBy("period").parquet(landing)

@@ -23,11 +23,14 @@ def expand_months(ranges: DataFrame, start: str = "start", end: str = "end") ->
     Malformed or reversed ranges yield nothing. Equal ranges are merged before they are expanded.
     """
     first, last = month_start(F.col(start)), month_start(F.col(end))
+    # The optimizer may evaluate the sequence of two constants before the filter has a say.
+    forward = F.col("_first") <= F.col("_last")
+    months = F.when(forward, F.sequence("_first", "_last", F.expr("interval 1 month")))
     return (
         ranges.select(first.alias("_first"), last.alias("_last"))
-        .where(F.col("_first") <= F.col("_last"))
+        .where(forward)
         .distinct()
-        .select(F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))).alias("_month"))
+        .select(F.explode(months).alias("_month"))
         .select(
             F.substring(F.col("_month").cast("string"), 1, 7).alias("period"),
             F.year("_month").alias("year"),

@@ -23,14 +23,14 @@ def run_silver(spark: SparkSession, root: str) -> DataFrame:
 
     The report is counted from what was stored: that reads a few columns, not the rules again.
     """
+    periods = list(lake.period_files(spark, lake.bronze_path(root)))
+    before = lake.outcome_files(spark, root, periods)
     lake.write_routed(with_outcome(lake.load_bronze(spark, root)), root)
+    lake.drop_unwritten(spark, before)
     # Periods that left Bronze since an earlier run are no part of this one; their folders are pruned.
-    periods = list(lake.period_files(spark, lake.bronze_path(root)))
     stored = lake.load_routed(spark, root).where(F.col("period").isin(periods))
     lake.write_quality_report(quality_report(stored), root)
-    report = lake.read_quality_report(spark, root)
-    lake.drop_empty_partitions(spark, root, report)
-    return report
+    return lake.read_quality_report(spark, root)
 
 
 def refresh_rollup(spark: SparkSession, root: str) -> DataFrame:

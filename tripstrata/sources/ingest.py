@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def schema_gate(found: T.StructType, contract: T.StructType = schemas.BRONZE) ->
 
 
 def _period_of_file():
-    return F.regexp_extract(F.col("_metadata.file_path"), r".*/(\d{4}-\d{2})\.parquet", 1)
+    return F.regexp_extract(F.col("_metadata.file_path"), r".*/(?:period=)?(\d{4}-\d{2})(?:\.parquet)?(?:/|$)", 1)
 
 
 def ingest_bronze(
@@ -51,8 +52,8 @@ def ingest_bronze(
             continue
         try:
             found = spark.read.parquet(path).schema
-        except PySparkException as problem:
-            results[period] = ("REJECTED", f"unreadable file: {str(problem).splitlines()[0]}")
+        except (PySparkException, Py4JJavaError):
+            results[period] = ("REJECTED", f"unreadable file {path}")
             continue
         reason = schema_gate(found)
         if reason:

@@ -132,24 +132,27 @@ def write_quarantine(routed: DataFrame, root: str) -> None:
     write_routed(routed.where(F.col("outcome") != C.ACCEPTED), root)
 
 
-def drop_empty_partitions(spark: SparkSession, root: str, report: DataFrame) -> None:
-    """Remove partitions that an earlier run filled and this one left empty.
+def outcome_files(spark: SparkSession, root: str, periods: list[str]) -> dict[str, list[str]]:
+    """File names of every outcome partition of some periods."""
+    found = {}
+    for outcome in (C.ACCEPTED, *C.CATEGORIES):
+        for period in periods:
+            partition = f"{silver_path(root)}/outcome={outcome}/period={period}"
+            names = files.children(spark, partition)
+            if names:
+                found[partition] = names
+    return found
+
+
+def drop_unwritten(spark: SparkSession, before: dict[str, list[str]]) -> None:
+    """Remove partitions that still hold exactly the files they held before a write.
 
-    ``report`` has one row per period of this run.
+    Overwriting replaces the partitions that have rows. One that an earlier run filled and this run
+    has no rows for would keep the old ones.
     """
-    counts = {
-        C.ACCEPTED: "records_accepted",
-        C.INVALID_TIMESTAMPS: "invalid_timestamps",
-        C.DISTANCE_OUTLIERS: "distance_outliers",
-        C.INVALID_PASSENGER_COUNT: "invalid_passenger_counts",
-        C.NEGATIVE_FARES: "negative_fares",
-        C.NEGATIVE_TOTAL_AMOUNTS: "negative_total_amounts",
-    }
-    for row in report.select("period", *counts.values()).collect():
-        for outcome, column in counts.items():
-            partition = f"{silver_path(root)}/outcome={outcome}/period={row['period']}"
-            if row[column] == 0 and files.exists(spark, partition):
-                files.delete(spark, partition)
+    for partition, names in before.items():
+        if files.children(spark, partition) == names:
+            files.delete(spark, partition)
 
 
 def write_quality_report(report: DataFrame, root: str) -> None:
@@ -164,7 +167,8 @@ def write_quality_report(report: DataFrame, root: str) -> None:
 
 
 def read_quality_report(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(schemas.QUALITY_REPORT).json(f"{root}/quality_report").orderBy("period")
+    stored = spark.read.schema(schemas.QUALITY_REPORT).json(f"{root}/quality_report")
+    return stored.select(*schemas.QUALITY_REPORT.names).orderBy("period")
 
 
 def write_gold(table: DataFrame, root: str, name: str) -> str:
@@ -189,13 +193,15 @@ def publish_table(df: DataFrame, name: str, jdbc: dict[str, str] | None = None)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Header, doubled quotes, empty field for NULL, CRLF line ends, values as stored."""
+    """Header, doubled quotes, empty field for NULL, values as stored.
+
+    Lines end in LF: with CRLF the writer would also change line feeds inside values.
+    """
     options = {
         "header": "true",
         "escape": '"',
         "nullValue": "",
         "emptyValue": "",
-        "lineSep": "\r\n",
         "ignoreLeadingWhiteSpace": "false",
         "ignoreTrailingWhiteSpace": "false",
     }
