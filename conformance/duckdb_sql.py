@@ -481,12 +481,12 @@ ORACLE: dict[str, str] = {
                COUNT(*) AS trip_count, {_sum("total_amount")} AS revenue
         FROM silver GROUP BY 1, 2"""
     ),
-    "live_tick": f"""{_TICKS}
+    **dict.fromkeys(("live_tick", "live_tick_stream"), f"""{_TICKS}
         SELECT date_trunc('hour', tick) AS tick_hour, COUNT(*) AS ticks,
                COUNT(*) FILTER (trip_count = 0) AS empty_ticks, CAST(SUM(trip_count) AS BIGINT) AS trips,
                MAX(trip_count) / 2.0::DOUBLE AS max_rate, CAST(MAX(total) AS DOUBLE) AS max_revenue,
                CAST(MAX(mean) AS DOUBLE) AS max_avg_fare, CAST(MAX(mean) AS DOUBLE) AS max_avg_distance
-        FROM ticks GROUP BY 1""",
+        FROM ticks GROUP BY 1"""),
     "skip_malformed": _silver(
         """SELECT "PULocationID", COUNT(*) AS trips, MIN(tpep_pickup_datetime) AS first_pickup,
                MAX(total_amount) AS max_total, COUNT(passenger_count) AS known_passengers

@@ -6,6 +6,7 @@ or struct are flattened, so that results compare by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from conformance.adhoc_sql import ADHOC
 from tripstrata import constants as C
 from tripstrata.functions.times import expand_months
 from tripstrata.operators import adhoc, dashboards, features, gold, model, profile, replay, runlog, service, silver
+from tripstrata.session import shared_dir
 from tripstrata.sources import adapters, ingest, lake
 from tripstrata.streaming import ticks, topics, trips
 
@@ -136,24 +138,31 @@ def _stream_hourly(trips_: DataFrame) -> DataFrame:
     return hours.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-def _live_tick(arrivals: DataFrame) -> DataFrame:
+def _digest(every_tick: DataFrame) -> DataFrame:
     """All ticks, empty ones included, digested per hour."""
     hour = F.date_trunc("hour", F.col("window_ended_at") - F.expr("interval 2 seconds")).cast("timestamp_ntz")
-    return (
-        ticks.live_ticks(arrivals)
-        .groupBy(hour.alias("tick_hour"))
-        .agg(
-            F.count(F.lit(1)).alias("ticks"),
-            F.count_if(F.col("trip_count") == 0).alias("empty_ticks"),
-            F.sum("trip_count").alias("trips"),
-            F.max("messages_per_second").alias("max_rate"),
-            F.max("total_revenue").alias("max_revenue"),
-            F.max("avg_fare").alias("max_avg_fare"),
-            F.max("avg_distance").alias("max_avg_distance"),
-        )
+    return every_tick.groupBy(hour.alias("tick_hour")).agg(
+        F.count(F.lit(1)).alias("ticks"),
+        F.count_if(F.col("trip_count") == 0).alias("empty_ticks"),
+        F.sum("trip_count").alias("trips"),
+        F.max("messages_per_second").alias("max_rate"),
+        F.max("total_revenue").alias("max_revenue"),
+        F.max("avg_fare").alias("max_avg_fare"),
+        F.max("avg_distance").alias("max_avg_distance"),
     )
 
 
+def _live_tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same digest from a streaming query over the events, stored and read back."""
+    folder = f"{shared_dir(spark)}/tick-stream-{uuid.uuid4().hex}"
+    schema = adapters.table(spark, sf_dir, "events").schema
+    # A pattern, because a stream takes a plain path for a folder.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    query = ticks.start_ticks(adapters.arrivals(events), f"{folder}/ticks", f"{folder}/checkpoint", available_now=True)
+    query.awaitTermination()
+    return _digest(ticks.read_ticks(spark, f"{folder}/ticks"))
+
+
 def _live_feed(trips_: DataFrame) -> DataFrame:
     return replay.last_n(replay.live_projection(trips_), C.LIVE_TRIPS, "pickup_at")
 
@@ -220,7 +229,7 @@ def _storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lake_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lake.lake_inventory(spark, _table_files(spark, sf_dir)).drop("objects")
+    return lake.lake_inventory(spark, _table_files(spark, sf_dir))
 
 
 def _with_views(spark: SparkSession, sf_dir: str) -> None:
@@ -313,7 +322,8 @@ QUERIES: dict[str, Query] = {
     "live_tick_history": _on_events(adapters.arrivals, _live_tick_history),
     # Streams, as their batch twins
     "stream_hourly": _on_silver(_stream_hourly),
-    "live_tick": _on_events(adapters.arrivals, _live_tick),
+    "live_tick": _on_events(adapters.arrivals, lambda rows: _digest(ticks.live_ticks(rows))),
+    "live_tick_stream": _live_tick_stream,
     "skip_malformed": _on_silver(_skip_malformed),
     "topic_stats": _on_events(adapters.topic_offsets, topics.topic_stats),
     # Model

@@ -79,3 +79,6 @@ ACTIVE_STATUSES = ("queued", "running")
 # --- End of fixed values ----------------------------------------------------------------------
 
 ACCEPTED = "accepted"
+
+# How much of the trees' statistics one pass over the rows may gather: fewer passes, same trees.
+MODEL_PASS_MEMORY_MB = 512

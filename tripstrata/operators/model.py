@@ -57,6 +57,8 @@ def forest() -> Pipeline:
         numTrees=C.MODEL_TREES,
         maxDepth=C.MODEL_DEPTH,
         seed=C.MODEL_SEED,
+        maxMemoryInMB=C.MODEL_PASS_MEMORY_MB,
+        cacheNodeIds=True,
     )
     return Pipeline(stages=[assembler, trees])
 
@@ -75,10 +77,15 @@ def regression_metrics(
 
 
 def train_fare_model(silver: DataFrame, n: int | None = C.MODEL_SAMPLE_ROWS) -> tuple[PipelineModel, dict]:
-    """Fitted model, and its metrics on held-out rows; ``n=None`` trains on every complete trip."""
-    rows = training_rows(silver)
-    shared_dir(silver.sparkSession)
-    sample = (rows if n is None else bounded_sample(rows, n)).checkpoint()
+    """Fitted model, and its metrics on held-out rows; ``n=None`` trains on every complete trip.
+
+    The sample is spread again, since a limit leaves it in one partition, and checkpointed, so that
+    a lost executor cannot change which rows are in it.
+    """
+    spark, rows = silver.sparkSession, training_rows(silver)
+    shared_dir(spark)
+    sample = rows if n is None else bounded_sample(rows, n).repartition(spark.sparkContext.defaultParallelism)
+    sample = sample.checkpoint()
     train, test = train_test_split(sample)
     model = forest().fit(train)
     metrics = regression_metrics(model.transform(test)).first().asDict()

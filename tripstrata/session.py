@@ -18,6 +18,11 @@ SETTINGS = {
     "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
+# Adaptive execution merges small shuffle partitions but never splits large ones, so a cluster starts
+# with many. Set the option yourself to choose another number.
+_INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+CLUSTER_SHUFFLE_PARTITIONS = "16384"
+
 
 def build_session(app: str = "tripstrata", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -25,7 +30,10 @@ def build_session(app: str = "tripstrata", master: str | None = None, **extra: s
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local") and spark.conf.get(_INITIAL_PARTITIONS, None) is None:
+        spark.conf.set(_INITIAL_PARTITIONS, CLUSTER_SHUFFLE_PARTITIONS)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     cluster a machine-local folder would vanish with the machine, so that is an error.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(configured)
         return configured
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="tripstrata-"))

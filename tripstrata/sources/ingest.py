@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
+from multiprocessing.pool import ThreadPool
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -15,6 +16,8 @@ from .. import schemas
 from . import files
 from .lake import bronze_path, period_files
 
+_FOOTERS_AT_A_TIME = 8
+
 
 def schema_gate(found: T.StructType, contract: T.StructType = schemas.BRONZE) -> str | None:
     """Reason to refuse a file by its footer alone, or None. Extra columns are allowed."""
@@ -30,6 +33,14 @@ def schema_gate(found: T.StructType, contract: T.StructType = schemas.BRONZE) ->
     return "Dtype mismatch: " + "; ".join(wrong) if wrong else None
 
 
+def _read_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """Schema in the footer, None when there is no readable one."""
+    try:
+        return spark.read.parquet(path).schema
+    except (PySparkException, Py4JJavaError):
+        return None
+
+
 def _period_of_file():
     return F.regexp_extract(F.col("_metadata.file_path"), r".*/(?:period=)?(\d{4}-\d{2})(?:\.parquet)?(?:/|$)", 1)
 
@@ -39,23 +50,22 @@ def ingest_bronze(
 ) -> DataFrame:
     """Copy each period's file to Bronze if its schema holds; a bad one stops no other.
 
-    Footers are read one by one, data in one job per distinct schema, which is one job unless
+    Footers are read a few at a time, data in one job per distinct schema, which is one job unless
     files carry extra columns. Files are copied as they are, NaN included.
     """
     available = period_files(spark, landing)
+    wanted = sorted(available) if periods is None else periods
+    present = [period for period in wanted if period in available]
+    with ThreadPool(_FOOTERS_AT_A_TIME) as pool:
+        footers = dict(zip(present, pool.map(lambda period: _read_schema(spark, available[period]), present)))
     results: dict[str, tuple] = {}
     by_schema: dict[str, dict[str, str]] = defaultdict(dict)
-    for period in sorted(available) if periods is None else periods:
-        path = available.get(period)
+    for period in wanted:
+        path, found = available.get(period), footers.get(period)
         if path is None:
             results[period] = ("UNAVAILABLE", f"no raw file for {period} in {landing}")
             continue
-        try:
-            found = spark.read.parquet(path).schema
-        except (PySparkException, Py4JJavaError):
-            results[period] = ("REJECTED", f"unreadable file {path}")
-            continue
-        reason = schema_gate(found)
+        reason = schema_gate(found) if found else f"unreadable file {path}"
         if reason:
             results[period] = ("REJECTED", reason)
         else:

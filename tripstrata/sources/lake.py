@@ -2,7 +2,7 @@
 
     bronze/period=YYYY-MM
     silver/outcome=<accepted or category>/period=YYYY-MM
-    quality_report/period=YYYY-MM
+    quality_report
     gold/<table>
 
 Silver and quarantine share one folder, split by outcome: one pass over Bronze writes both.
@@ -132,43 +132,37 @@ def write_quarantine(routed: DataFrame, root: str) -> None:
     write_routed(routed.where(F.col("outcome") != C.ACCEPTED), root)
 
 
-def outcome_files(spark: SparkSession, root: str, periods: list[str]) -> dict[str, list[str]]:
-    """File names of every outcome partition of some periods."""
-    found = {}
-    for outcome in (C.ACCEPTED, *C.CATEGORIES):
-        for period in periods:
-            partition = f"{silver_path(root)}/outcome={outcome}/period={period}"
-            names = files.children(spark, partition)
-            if names:
-                found[partition] = names
-    return found
+def outcome_partitions(spark: SparkSession, root: str) -> dict[str, tuple[int, int]]:
+    """Outcome partitions that exist, each with a fingerprint of its files.
+
+    Files are listed and folded by Spark; one row per partition comes back.
+    """
+    partition = F.regexp_extract("path", r"(outcome=[^/]+/period=[^/]+)/[^/]+$", 1)
+    listed = lake_objects(spark, {"silver": [silver_path(root)]}).groupBy(partition.alias("partition"))
+    folded = listed.agg(F.count(F.lit(1)).alias("files"), F.bit_xor(F.xxhash64("path")).alias("names"))
+    return {row["partition"]: (row["files"], row["names"]) for row in folded.collect()}
 
 
-def drop_unwritten(spark: SparkSession, before: dict[str, list[str]]) -> None:
-    """Remove partitions that still hold exactly the files they held before a write.
+def drop_unwritten(spark: SparkSession, root: str, before: dict[str, tuple[int, int]], periods: list[str]) -> None:
+    """Remove partitions of ``periods`` that hold the very files they held before a write.
 
     Overwriting replaces the partitions that have rows. One that an earlier run filled and this run
     has no rows for would keep the old ones.
     """
-    for partition, names in before.items():
-        if files.children(spark, partition) == names:
-            files.delete(spark, partition)
+    after = outcome_partitions(spark, root) if before else {}
+    for partition, files_then in before.items():
+        if after.get(partition) == files_then and partition.rpartition("period=")[2] in periods:
+            files.delete(spark, f"{silver_path(root)}/{partition}")
 
 
 def write_quality_report(report: DataFrame, root: str) -> None:
-    """One JSON object per period."""
-    stored = report.withColumn("_period", F.col("period")).repartition("period")
-    (
-        stored.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("_period")
-        .json(f"{root}/quality_report")
-    )
+    """One JSON object per period, one per line. A run reports on every period of Bronze."""
+    rows = report.repartition(1).sortWithinPartitions("period")
+    rows.write.mode("overwrite").json(f"{root}/quality_report")
 
 
 def read_quality_report(spark: SparkSession, root: str) -> DataFrame:
-    stored = spark.read.schema(schemas.QUALITY_REPORT).json(f"{root}/quality_report")
-    return stored.select(*schemas.QUALITY_REPORT.names).orderBy("period")
+    return spark.read.schema(schemas.QUALITY_REPORT).json(f"{root}/quality_report").orderBy("period")
 
 
 def write_gold(table: DataFrame, root: str, name: str) -> str:
@@ -225,21 +219,19 @@ def lake_objects(spark: SparkSession, folders: dict[str, list[str]]) -> DataFram
 
 
 def lake_inventory(spark: SparkSession, folders: dict[str, list[str]]) -> DataFrame:
-    """Objects, count and bytes per layer; a layer without a folder is listed as empty."""
+    """Objects and bytes per layer, with the times of its oldest and newest object.
+
+    A layer without a folder is listed as empty. The objects themselves are rows of
+    ``lake_objects``: as one list per layer they would have to fit in one task.
+    """
     names = spark.createDataFrame([(layer,) for layer in folders], "layer string")
-    entry = F.struct("path", "length", "modificationTime")
     grouped = lake_objects(spark, folders).groupBy("layer").agg(
-        F.sort_array(F.collect_list(entry)).alias("objects"),
         F.count(F.lit(1)).alias("object_count"),
         F.sum("length").alias("total_bytes"),
+        F.min("modificationTime").alias("oldest"),
+        F.max("modificationTime").alias("newest"),
     )
-    none = F.array().cast("array<struct<path:string,length:bigint,modificationTime:timestamp>>")
-    return names.join(grouped, "layer", "left").select(
-        "layer",
-        F.coalesce("objects", none).alias("objects"),
-        F.coalesce("object_count", F.lit(0)).alias("object_count"),
-        F.coalesce("total_bytes", F.lit(0)).alias("total_bytes"),
-    )
+    return names.join(grouped, "layer", "left").fillna(0, ["object_count", "total_bytes"])
 
 
 def storage_stats(spark: SparkSession, folders: dict[str, list[str]]) -> DataFrame:
