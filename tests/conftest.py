@@ -22,6 +22,7 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.sql.maxMetadataStringLength": "4000",
+            "spark.sql.sources.parallelPartitionDiscovery.threshold": "4096",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },

@@ -5,23 +5,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_point
 from tests.helpers import plan
 from tripstrata import constants as C
 from tripstrata.functions.quantiles import exact_percentiles
 from tripstrata.operators import features, gold, silver
 from tripstrata.sources import lake
 
-MODEL_QUERIES = {"score_fares", "train_fare_model"}
-
-
-@pytest.mark.parametrize("name", sorted(set(entry_point.queries()) - MODEL_QUERIES))
-def test_no_python_and_no_pair_joins(spark, small, name):
-    text = plan(entry_point.queries()[name](spark, small))
-    for operator in ("Python", "Pandas", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert operator not in text, name
-
-
 def test_day_filter_reaches_the_scan(spark, lake_root):
     text = plan(silver.trips_of_day(lake.load_silver(spark, lake_root), "1996-01-02"))
     assert f"GreaterThanOrEqual({C.PICKUP},1996-01-02T00:00)" in text

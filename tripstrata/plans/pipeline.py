@@ -24,9 +24,8 @@ def run_silver(spark: SparkSession, root: str) -> DataFrame:
     The report is counted from what was stored: that reads a few columns, not the rules again.
     """
     periods = list(lake.period_files(spark, lake.bronze_path(root)))
-    before = lake.outcome_partitions(spark, root)
-    lake.write_routed(with_outcome(lake.load_bronze(spark, root)), root)
-    lake.drop_unwritten(spark, root, before, periods)
+    written = lake.write_routed(with_outcome(lake.load_bronze(spark, root)), root)
+    lake.drop_unwritten(spark, root, written, periods)
     # Periods that left Bronze since an earlier run are no part of this one; their folders are pruned.
     stored = lake.load_routed(spark, root).where(F.col("period").isin(periods))
     lake.write_quality_report(quality_report(stored), root)

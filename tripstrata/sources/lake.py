@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,12 +116,16 @@ def _overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
     writer.partitionBy(*columns).parquet(path)
 
 
-def write_routed(routed: DataFrame, root: str) -> None:
-    """Store every row once, in the partition of its outcome and period.
+def write_routed(routed: DataFrame, root: str) -> set[tuple[str, str]]:
+    """Store every row once, in the partition of its outcome and period; returns those partitions.
 
-    No shuffle: input splits lie within a period, so a task writes a few files at most.
+    No shuffle: input splits lie within a period, so a task writes a few files at most. The
+    partitions are observed while rows are written, one entry per outcome and period.
     """
-    _overwrite_partitions(routed, silver_path(root), "outcome", "period")
+    written = Observation()
+    key = F.collect_set(F.struct("outcome", "period")).alias("partitions")
+    _overwrite_partitions(routed.observe(written, key), silver_path(root), "outcome", "period")
+    return {(row["outcome"], row["period"]) for row in written.get.get("partitions", [])}
 
 
 def write_silver(routed: DataFrame, root: str) -> None:
@@ -132,27 +136,18 @@ def write_quarantine(routed: DataFrame, root: str) -> None:
     write_routed(routed.where(F.col("outcome") != C.ACCEPTED), root)
 
 
-def outcome_partitions(spark: SparkSession, root: str) -> dict[str, tuple[int, int]]:
-    """Outcome partitions that exist, each with a fingerprint of its files.
-
-    Files are listed and folded by Spark; one row per partition comes back.
-    """
-    partition = F.regexp_extract("path", r"(outcome=[^/]+/period=[^/]+)/[^/]+$", 1)
-    listed = lake_objects(spark, {"silver": [silver_path(root)]}).groupBy(partition.alias("partition"))
-    folded = listed.agg(F.count(F.lit(1)).alias("files"), F.bit_xor(F.xxhash64("path")).alias("names"))
-    return {row["partition"]: (row["files"], row["names"]) for row in folded.collect()}
-
-
-def drop_unwritten(spark: SparkSession, root: str, before: dict[str, tuple[int, int]], periods: list[str]) -> None:
-    """Remove partitions of ``periods`` that hold the very files they held before a write.
+def drop_unwritten(spark: SparkSession, root: str, written: set[tuple[str, str]], periods: list[str]) -> None:
+    """Remove the outcome partitions of ``periods`` that the last write had no rows for.
 
     Overwriting replaces the partitions that have rows. One that an earlier run filled and this run
-    has no rows for would keep the old ones.
+    left empty would keep the old ones.
     """
-    after = outcome_partitions(spark, root) if before else {}
-    for partition, files_then in before.items():
-        if after.get(partition) == files_then and partition.rpartition("period=")[2] in periods:
-            files.delete(spark, f"{silver_path(root)}/{partition}")
+    for outcome in (C.ACCEPTED, *C.CATEGORIES):
+        folder = f"{silver_path(root)}/outcome={outcome}"
+        for name in files.children(spark, folder):
+            period = name.removeprefix("period=")
+            if period in periods and (outcome, period) not in written:
+                files.delete(spark, f"{folder}/{name}")
 
 
 def write_quality_report(report: DataFrame, root: str) -> None:
