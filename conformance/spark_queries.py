@@ -133,15 +133,10 @@ def _skip_malformed(trips_: DataFrame) -> DataFrame:
     )
 
 
-def _stream_hourly(trips_: DataFrame) -> DataFrame:
-    hours = trips.stream_hourly(trips_)
-    return hours.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
-
-
 def _digest(every_tick: DataFrame) -> DataFrame:
     """All ticks, empty ones included, digested per hour."""
-    hour = F.date_trunc("hour", F.col("window_ended_at") - F.expr("interval 2 seconds")).cast("timestamp_ntz")
-    return every_tick.groupBy(hour.alias("tick_hour")).agg(
+    started = every_tick.withColumn("tick_start", F.col("window_ended_at") - F.expr("interval 2 seconds"))
+    return started.groupBy(F.window("tick_start", "1 hour").start.alias("tick_hour")).agg(
         F.count(F.lit(1)).alias("ticks"),
         F.count_if(F.col("trip_count") == 0).alias("empty_ticks"),
         F.sum("trip_count").alias("trips"),
@@ -321,7 +316,7 @@ QUERIES: dict[str, Query] = {
     "live_feed_last_n": _on_silver(_live_feed),
     "live_tick_history": _on_events(adapters.arrivals, _live_tick_history),
     # Streams, as their batch twins
-    "stream_hourly": _on_silver(_stream_hourly),
+    "stream_hourly": _on_silver(trips.stream_hourly),
     "live_tick": _on_events(adapters.arrivals, lambda rows: _digest(ticks.live_ticks(rows))),
     "live_tick_stream": _live_tick_stream,
     "skip_malformed": _on_silver(_skip_malformed),

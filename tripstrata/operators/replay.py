@@ -50,7 +50,7 @@ def replay_schedule_gap(trips: DataFrame, speed: float = 0) -> DataFrame:
     if not speed:
         return trips.withColumn("send_at_s", F.lit(0.0))
     first = trips.agg(F.min(C.PICKUP)).first()[0]
-    since = trips.withColumn("_first", F.lit(first).cast("timestamp_ntz"))
+    since = trips.withColumn("_first", F.lit(str(first)).cast("timestamp_ntz"))
     return since.withColumn("send_at_s", micros_between(C.PICKUP, "_first") / F.lit(1e6 * speed)).drop("_first")
 
 

@@ -107,7 +107,7 @@ def with_signal(run_log: DataFrame) -> DataFrame:
 
 def with_duration(run_log: DataFrame, now) -> DataFrame:
     """Whole seconds up to the finish, or to ``now`` while running; NULL when not started."""
-    end = F.coalesce("finished_at", F.lit(now).cast("timestamp_ntz"))
+    end = F.coalesce("finished_at", F.lit(str(now)).cast("timestamp_ntz"))
     micros = micros_between("_end", "started_at")
     seconds = F.floor(micros / 1_000_000 + 0.5)
     return (

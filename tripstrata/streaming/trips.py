@@ -65,29 +65,33 @@ def stream_trips(
 def stream_hourly(trips: DataFrame) -> DataFrame:
     """Trips and revenue per hour of pickup, for a stream or for stored trips.
 
-    Events more than an hour behind the latest pickup of earlier batches are dropped. The result is
-    not sorted: a stream of updates has no order, readers sort.
+    In a stream, events more than an hour behind the latest pickup of earlier batches are dropped.
+    The result is not sorted: a stream of updates has no order, readers sort.
     """
-    timed = trips.withColumn("_pickup", F.col(C.PICKUP).cast("timestamp"))
-    hours = (
-        timed.withWatermark("_pickup", C.HOURLY_WATERMARK)
-        .groupBy(F.window("_pickup", C.HOURLY_WINDOW).alias("_window"))
-        .agg(F.count(F.lit(1)).alias("trip_count"), exact_sum("total_amount").alias("revenue"))
+    if trips.isStreaming:
+        # A watermark needs a timestamp with zone; the session's zone maps it back unchanged.
+        timed = trips.withColumn("_pickup", F.col(C.PICKUP).cast("timestamp"))
+        timed = timed.withWatermark("_pickup", C.HOURLY_WATERMARK)
+    else:
+        timed = trips.withColumn("_pickup", F.col(C.PICKUP))
+    hours = timed.groupBy(F.window("_pickup", C.HOURLY_WINDOW).alias("_window")).agg(
+        F.count(F.lit(1)).alias("trip_count"), exact_sum("total_amount").alias("revenue")
     )
+    bounds = {"window_start": F.col("_window.start"), "window_end": F.col("_window.end")}
     return hours.select(
-        F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), "trip_count", "revenue"
+        *[bound.cast("timestamp_ntz").alias(name) for name, bound in bounds.items()], "trip_count", "revenue"
     )
 
 
-_HOURS = "window_start timestamp, window_end timestamp, trip_count bigint, revenue double, window_hour string"
+_HOURS = "window_start timestamp_ntz, window_end timestamp_ntz, trip_count bigint, revenue double, window_hour string"
 
 
 def _upsert_hours(path: str):
     """Each batch replaces the hours it updates, so repeating a batch changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        hour = F.date_format("window_start", "yyyy-MM-dd'T'HH")
-        rows = batch.withColumn("window_hour", hour).repartition("window_hour")
+        hour = F.substring(F.col("window_start").cast("string"), 1, 13)
+        rows = batch.withColumn("window_hour", F.translate(hour, " ", "T")).repartition("window_hour")
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("window_hour").parquet(path)
 
