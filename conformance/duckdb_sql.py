@@ -319,9 +319,10 @@ WITH bounds AS (
     FROM every LEFT JOIN filled ON every.tick = filled.tick
 )"""
 
-# ROUND on a double multiplies first, which turns a value just under a half into a half.
+# ROUND on a double, and a direct cast to a long DECIMAL, multiply first, which turns a value just under
+# a half into a half. The cast through text keeps every digit.
 _ONLINE_MEANS = ", ".join(
-    f"'{c}', CAST(ROUND(CAST({c} AS DECIMAL(38,15)), 4) AS DOUBLE)"
+    f"'{c}', CAST(ROUND(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,18)), 4) AS DOUBLE)"
     for c in ("avg_fare", "avg_trip_distance", "avg_tip", "avg_passenger_count")
 )
 

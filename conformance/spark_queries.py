@@ -16,7 +16,7 @@ from conformance.adhoc_sql import ADHOC
 from tripstrata import constants as C
 from tripstrata.functions.times import expand_months
 from tripstrata.operators import adhoc, dashboards, features, gold, model, profile, replay, runlog, service, silver
-from tripstrata.session import shared_dir
+from tripstrata.session import shared_dir, stored
 from tripstrata.sources import adapters, ingest, lake
 from tripstrata.streaming import ticks, topics, trips
 
@@ -51,8 +51,8 @@ def _on_requests(build: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _gold_frames(trips_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Daily, hourly and congestion tables from one rollup of the trips."""
-    cells = gold.trip_rollup(trips_)
+    """Daily, hourly and congestion tables from one stored rollup, so the trips are read once."""
+    cells = stored(gold.trip_rollup(trips_), "rollup")
     return gold.daily_revenue(cells), gold.hourly_demand(cells), gold.congestion_metrics(cells)
 
 
@@ -75,8 +75,8 @@ def _quality_report(bronze: DataFrame) -> DataFrame:
 
 
 def _run_gold(trips_: DataFrame) -> DataFrame:
-    """Rows and trips of the four Gold tables and the features, all from one rollup."""
-    cells = gold.trip_rollup(trips_)
+    """Rows and trips of the four Gold tables and the features, all from one stored rollup."""
+    cells = stored(gold.trip_rollup(trips_), "rollup")
     built = {name: build(cells) for name, build in gold.BUILDERS.items()}
     built[C.FEATURE_TABLE] = features.zone_hour_features(cells)
     counted = [
