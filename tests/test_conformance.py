@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_point
+from conformance.duckdb_sql import ORACLE
+from conformance.spark_queries import QUERIES
 from tests.compare import connect, duck_rows, spark_rows, spark_types
 from tests.helpers import plan
 
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
 ROWS_ONLY = {
     "lake_inventory",
     "storage_stats",
@@ -53,5 +54,10 @@ def test_rows_only(spark, small, name):
     assert df.count() > 0
 
 
+def test_registered():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLE) <= set(entry_point.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
