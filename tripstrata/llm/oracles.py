@@ -2,4 +2,38 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+    WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    item_window AS (
+        SELECT item_id, len(w) AS size, w AS win FROM item WHERE len(w) BETWEEN 1 AND 9
+        UNION
+        SELECT item_id, 10, w[i : i + 9] FROM item, unnest(range(1, len(w) - 8)) AS r(i) WHERE len(w) >= 10
+    ),
+    sizes AS (SELECT DISTINCT size FROM item_window),
+    doc AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+    doc_window AS (
+        SELECT rid, size, i, w[i : i + size - 1] AS win
+        FROM doc, sizes, unnest(range(1, len(w) - size + 2)) AS r(i)
+        WHERE len(w) >= size
+    ),
+    hit AS (SELECT rid, d.size, i, item_id FROM doc_window d JOIN item_window t ON d.size = t.size AND d.win = t.win),
+    covered AS (
+        SELECT rid, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + size)) AS r(p) GROUP BY rid
+    ),
+    named AS (
+        SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY rid
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_benchmark_decontamination": OP6,
+}
