@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import phrase_index, simhash_gph
-from tripstrata.llm.tables import table
+from tripstrata.llm import ordinal_quality, phrase_index, quality_rules, simhash_gph
+from tripstrata.llm.tables import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
@@ -30,7 +34,24 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gph.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    "op6_benchmark_decontamination": op6_benchmark_decontamination,
-    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    query.__name__: _shipped(query)
+    for query in (
+        op1_quality_rules,
+        op6_benchmark_decontamination,
+        op8_simhash_near_dedup,
+        op9_quality_classifier,
+    )
 }

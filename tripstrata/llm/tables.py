@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,3 +83,21 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def text_key(text: Column) -> Column:
     """A 128-bit name of a text; null has its own."""
     return F.coalesce(F.md5(text.cast("binary")), F.lit("-"))
+
+
+_SHIPPED = "tripstrata-package"
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_tripstrata_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    # The driver serves this file to the executors for as long as the application runs.
+    archive = f"{tempfile.mkdtemp()}/{_SHIPPED}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._tripstrata_shipped = True
