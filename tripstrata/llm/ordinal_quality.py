@@ -19,7 +19,7 @@ from tripstrata.llm import hashed_text, spans
 from tripstrata.llm.hashed_text import Sample, minimise, sigmoid
 from tripstrata.llm.tables import Batches, in_arrow
 
-#: Lowest first: toxic, of poor quality, good.
+#: Both flaws (poor quality, toxic), one of them, none.
 GRADES = (0, 1, 2)
 MIN_GRADE = 2
 MIN_TAIL = 0.5
@@ -29,12 +29,9 @@ PENALTY = 1e-4
 
 
 def grade() -> Column:
-    """The graded rating of a label row: null when a flag that decides it is missing."""
-    return (
-        F.when(F.col("toxic") == 1, 0)
-        .when((F.col("toxic") == 0) & (F.col("quality") == 0), 1)
-        .when((F.col("toxic") == 0) & (F.col("quality") == 1), 2)
-    )
+    """The graded rating of a label row, the number of things right with it; null when a flag is."""
+    known = F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)
+    return F.when(known, F.col("quality") + 1 - F.col("toxic"))
 
 
 @dataclass
