@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import ordinal_quality, phrase_index, quality_rules, simhash_gph
+from tripstrata.llm import byte_bpe, ordinal_quality, phrase_index, quality_rules, simhash_gph
 from tripstrata.llm.tables import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = byte_bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
@@ -50,6 +65,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: _shipped(query)
     for query in (
         op1_quality_rules,
+        op3_byte_level_bpe,
         op6_benchmark_decontamination,
         op8_simhash_near_dedup,
         op9_quality_classifier,
