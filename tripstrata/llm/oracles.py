@@ -34,6 +34,19 @@ OP6 = f"""
     FROM doc LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
 
+OP10 = """
+    WITH page AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest
+        FROM pages
+    ),
+    first AS (SELECT digest, min(page_id) AS page_id FROM page WHERE n >= 100 GROUP BY digest)
+    SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+        CASE WHEN p.page_id > f.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN p.page_id > f.page_id THEN f.page_id END AS refers_to, true AS intact
+    FROM page p LEFT JOIN first f ON p.digest = f.digest AND n >= 100
+"""
+
 ORACLE: dict[str, str] = {
+    "op10_warc": OP10,
     "op6_benchmark_decontamination": OP6,
 }
