@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import byte_bpe, hilbert_shards, ordinal_quality, phrase_index, quality_rules, simhash_gph, warc
+from tripstrata.llm import (
+    byte_bpe,
+    fuzzy_lines,
+    hilbert_shards,
+    ordinal_quality,
+    phrase_index,
+    quality_rules,
+    simhash_gph,
+    warc,
+)
 from tripstrata.llm.tables import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +41,10 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.find_repeated(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shards.assign(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -85,6 +98,7 @@ QUERIES: dict[str, Query] = {
     for query in (
         op1_quality_rules,
         op3_byte_level_bpe,
+        op4_line_dedup,
         op5_sharding,
         op6_benchmark_decontamination,
         op8_simhash_near_dedup,
