@@ -46,7 +46,37 @@ OP10 = """
     FROM page p LEFT JOIN first f ON p.digest = f.digest AND n >= 100
 """
 
+OP2 = r"""
+    WITH RECURSIVE message AS (
+        SELECT conv_id, turn, role, trim(text, chr(10)) AS body,
+            trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS said FROM conversations
+    ),
+    origin AS (SELECT conv_id, said, min(turn) AS turn FROM message WHERE said <> '' GROUP BY ALL),
+    quote AS (
+        SELECT m.conv_id, m.turn, back, o.turn AS origin
+        FROM message m, (VALUES (1), (2)) AS b(back)
+        JOIN message q ON q.conv_id = m.conv_id AND q.turn = m.turn - back AND q.said <> ''
+        LEFT JOIN origin o ON o.conv_id = q.conv_id AND o.said = q.said AND o.turn < m.turn
+    ),
+    linked AS (
+        SELECT conv_id, turn, count(*) AS n_quotes, count(origin) AS n_linked,
+            max(origin) FILTER (back = 1) AS parent_turn
+        FROM quote GROUP BY ALL
+    ),
+    full_message AS (SELECT * FROM message LEFT JOIN linked USING (conv_id, turn)),
+    climb AS (
+        SELECT conv_id, turn, turn AS at, parent_turn AS up, 0 AS depth FROM full_message
+        UNION ALL
+        SELECT c.conv_id, c.turn, f.turn, f.parent_turn, depth + 1
+        FROM climb c JOIN full_message f ON c.conv_id = f.conv_id AND c.up = f.turn
+    )
+    SELECT f.conv_id, f.turn, role, f.parent_turn, c.at AS root_turn, CAST(depth AS BIGINT) AS depth,
+        CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, body
+    FROM full_message f JOIN climb c ON c.conv_id = f.conv_id AND c.turn = f.turn AND c.up IS NULL
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_chat_formatting": OP2,
     "op10_warc": OP10,
     "op6_benchmark_decontamination": OP6,
 }

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripstrata.llm import spans
-from tripstrata.llm.tables import Batches, Scratch, in_arrow
+from tripstrata.llm.tables import Batches, Scratch, in_arrow, text_key
 
 WINDOW = 10
 SLOP = 5
@@ -308,3 +308,14 @@ def matches(
         F.coalesce("items", none).alias("items"),
         F.coalesce("near", none).alias("near_items"),
     )
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no window of the items occurs, unchanged."""
+    scratch = Scratch(docs.sparkSession, "decontaminated")
+    keyed = docs.withColumn("__key", text_key(F.col("text")))
+    found = matches(keyed, items, width, None, ("doc_id", "__key")).filter("n_hit > 0")
+    # Stored, so its size is known: it is broadcast if small, else both sides are shuffled.
+    hit = scratch.store(found.select(F.col("doc_id").alias("id"), F.col("__key").alias("key")).distinct())
+    same = keyed["doc_id"].eqNullSafe(hit["id"]) & (keyed["__key"] == hit["key"])
+    return keyed.join(hit, same, "left_anti").drop("__key")

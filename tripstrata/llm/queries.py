@@ -15,6 +15,8 @@ from tripstrata.llm import (
     ordinal_quality,
     phrase_index,
     quality_rules,
+    quote_links,
+    secret_forest,
     simhash_gph,
     warc,
 )
@@ -27,6 +29,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.link(quote_links.as_mail(table(spark, sf_dir, "conversations")))
+
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -72,6 +78,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_forest.scan(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256")
+    return found.select("doc_id", "word_no", digest, "score", "is_secret")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gph.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -97,10 +109,12 @@ QUERIES: dict[str, Query] = {
     query.__name__: _shipped(query)
     for query in (
         op1_quality_rules,
+        op2_chat_formatting,
         op3_byte_level_bpe,
         op4_line_dedup,
         op5_sharding,
         op6_benchmark_decontamination,
+        op7_secret_scans,
         op8_simhash_near_dedup,
         op9_quality_classifier,
         op10_warc,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripstrata.llm import spans
-from tripstrata.llm.tables import Batches, Scratch, components, in_arrow
+from tripstrata.llm.tables import Batches, Scratch, components, in_arrow, text_key
 
 BITS = 64
 SHINGLE = 3
@@ -61,18 +61,19 @@ def bit_counts(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``, one row a document; null and wordless texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(*ids, fp)``, one row a document; null and wordless texts have fingerprint 0."""
+    chosen = docs.select(*ids, "text")
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            text = batch.column("text")
-            for block in spans.blocks(text):
+            for block in spans.blocks(batch.column("text")):
                 fp = fingerprints_of(block, shingle).view(np.int64)
-                ids = batch.column("doc_id").slice(block.lo, block.rows)
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+                held = [batch.column(name).slice(block.lo, block.rows) for name in ids]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(fp)], [*ids, "fp"])
 
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.drop("text").schema.fields]
+    return in_arrow(chosen, run, ", ".join([*fields, "fp long"]))
 
 
 def _as_bits(fp: np.ndarray) -> np.ndarray:
@@ -245,6 +246,15 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> Da
     return found.select("a", "b").distinct()
 
 
+def grouped(prints: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> DataFrame:
+    """``(fp, root)``: every distinct fingerprint of the stored ``prints``, and the smallest one that
+    links reach from it."""
+    distinct = scratch.store(prints.select("fp").distinct())
+    roots = components(links(distinct, scratch, distance), scratch)
+    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return joined.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row for each row of ``docs (doc_id, text, ...)``.
 
@@ -254,14 +264,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.store(fingerprints(docs, shingle))
-    distinct = scratch.store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    pairs = links(distinct, scratch, distance)
-    roots = components(pairs, scratch)
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    member = member.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    prints = scratch.store(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shingle))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    member = scratch.store(grouped(prints, scratch, distance).join(first, "fp"))
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     groups = member.join(smallest, "root").select("fp", "component_id")
     return prints.join(groups, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one document of each group: that with the smallest id (null ids come last), and of
+    these with the smallest text hash. Rows that repeat both id and text are one document."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    keyed = docs.withColumn("__key", text_key(F.col("text")))
+    prints = scratch.store(fingerprints(keyed, shingle, ("doc_id", "__key")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    by_print = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    firsts = grouped(prints, scratch, distance).join(by_print, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = scratch.store(firsts.select("first.id", "first.key").distinct())
+    same = keyed["doc_id"].eqNullSafe(kept["id"]) & (keyed["__key"] == kept["key"])
+    return keyed.join(kept, same, "left_semi").drop("__key")
