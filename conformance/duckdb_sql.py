@@ -186,7 +186,7 @@ _SHAPE = "\nUNION ALL\n".join(
 )
 _DESCRIBE = "\nUNION ALL\n".join(
     f"""SELECT '{name}' AS column_name, COUNT("{name}") AS value_count,
-       {_avg(f'CAST("{name}" AS DOUBLE)')} AS mean,
+       ROUND(AVG(CAST("{name}" AS DOUBLE)), 6) AS mean,
        ROUND(STDDEV_SAMP(CAST("{name}" AS DOUBLE)), 6) AS std, CAST(MIN("{name}") AS DOUBLE) AS "min",
        ROUND(QUANTILE_CONT(CAST("{name}" AS DOUBLE), 0.25), 6) AS p25,
        ROUND(QUANTILE_CONT(CAST("{name}" AS DOUBLE), 0.5), 6) AS p50,
@@ -445,7 +445,7 @@ ORACLE: dict[str, str] = {
     "replay_select": _ctes(latest=_LATEST_DAY) + " " + _replay(500),
     "replay_schedule_flat": _ctes(latest=_LATEST_DAY, chosen=_replay(5000))
     + f"""
-        SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY {_REPLAY_ORDER}) - 1 AS INTEGER) AS event_number,
+        SELECT *, ROW_NUMBER() OVER (ORDER BY {_REPLAY_ORDER}) - 1 AS event_number,
                (ROW_NUMBER() OVER (ORDER BY {_REPLAY_ORDER}) - 1) / 40.0::DOUBLE AS send_at_s
         FROM chosen""",
     "replay_schedule_gap": _silver(

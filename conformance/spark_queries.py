@@ -100,7 +100,8 @@ def _feature_lookup(trips_: DataFrame) -> DataFrame:
     requests = trips_.select(
         F.col(C.DROPOFF_ZONE).alias(C.PICKUP_ZONE), F.hour(C.PICKUP).alias("pickup_hour"), "payment_type"
     )
-    found = features.feature_lookup(requests, features.zone_hour_features(trips_))
+    # Stored, so its size is known and the requests stay where they are.
+    found = features.feature_lookup(requests, stored(features.zone_hour_features(trips_), "features"))
     return found.groupBy(C.PICKUP_ZONE, "pickup_hour", "found").agg(
         F.count(F.lit(1)).alias("requests"),
         F.max("trip_count").alias("trip_count"),
@@ -208,7 +209,7 @@ def _dashboard_totals(trips_: DataFrame) -> DataFrame:
 
 
 def _describe(bronze: DataFrame) -> DataFrame:
-    return _rounded(profile.profile_describe(bronze), "std", "p25", "p50", "p75", places=6)
+    return _rounded(profile.profile_describe(bronze), "mean", "std", "p25", "p50", "p75", places=6)
 
 
 def _online(trips_: DataFrame) -> DataFrame:

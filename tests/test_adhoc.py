@@ -45,6 +45,14 @@ def shop(spark):
         "select `java_method`('java.lang.Math', 'random')",
         "SELECT TRANSFORM (id) USING 'cat' FROM shop.items",
         "SELECT TRANSFORM (id) USING /* c */ \"cat\" FROM shop.items",
+        "SELECT IDENTIFIER('reflect')('java.lang.Math','max',1,2)",
+        "SELECT IDENTIFIER('ref' || 'lect')('java.lang.Math','max',1,2)",
+        "SELECT try_reflect('java.lang.Math','max',1,2)",
+        "SELECT 1 WHERE EXISTS (SELECT reflect('java.lang.Math','max',1,2))",
+        "SELECT TRANSFORM(a) USING r'cat' AS (b) FROM VALUES (1) t(a)",
+        "SELECT * FROM (SELECT TRANSFORM(a) USING 'cat' AS (b) FROM VALUES (1) t(a))",
+        "SELECT * FROM text.`/etc/hostname`",
+        "SELECT (SELECT count(*) FROM text.`/etc/hostname`)",
         "select * from shop.missing",
         "select id from",
     ],

@@ -151,9 +151,14 @@ def test_replay_selection(spark):
         replay.replay_select(trips.where("false"))
 
 
-def test_replay_limit_is_clamped(spark):
+def test_replay_limits(spark):
     many = _trips(spark, datetime(2024, 1, 5, 10)).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(6000)))).drop("_n")
-    assert replay.replay_select(many, "2024-01-05", 99_999).count() == 5000
+    assert replay.replay_select(many, "2024-01-05", 99_999).count() == 6000
+    whole = replay.replay_schedule(replay.replay_select(many, "2024-01-05", None), rate=100)
+    assert [row.event_number for row in whole.orderBy("event_number").collect()] == list(range(6000))
+    for asked in (99_999, None):
+        with pytest.warns(UserWarning, match="5000"):
+            assert replay.replay_select(many, "2024-01-05", asked, max_limit=5000).count() == 5000
     assert replay.replay_select(many, "2024-01-05").count() == 500
 
 

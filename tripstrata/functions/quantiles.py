@@ -27,13 +27,13 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per group (one in all without keys): ``keys`` and a column per entry of ``wanted``.
 
-    The input is scanned once. Values are counted on one shuffle, which both the bucket totals and
+    NULL and NaN are left out. The input is scanned once. Values are counted on one shuffle, which both the bucket totals and
     the final pick read; the null-safe join keeps it that way, since a plain equality would filter
     one of the two sides for NULL keys (and lose the group of NULL keys).
     """
     keys = list(keys)
     counts = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bucket", _bucket(F.col("_value")))

@@ -6,6 +6,7 @@ import re
 import threading
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -14,10 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import constants as C
 
 _LEADING = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?(?:\*/|\Z))*", re.DOTALL)
-_COMMENTS = re.compile(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|--[^\n]*|/\*.*?\*/", re.DOTALL)
-_LITERALS = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.DOTALL)
-# Queries that run code of their own: JVM calls and script transforms.
-_RUNS_CODE = re.compile(r"\b(?:try_)?reflect`?\s*\(|\bjava_method`?\s*\(|\busing\s*''", re.IGNORECASE)
+# Nodes that an analysed query may consist of. Whatever is not listed (commands, writes, script
+# transforms, Python and streaming operators) is refused.
+_READING_NODES = frozenset(
+    """
+    Aggregate AsOfJoin CTERelationDef CTERelationRef DataSourceV2Relation DataSourceV2ScanRelation Deduplicate
+    Distinct EmptyRelation Except Expand Filter Generate GlobalLimit HiveTableRelation Intersect Join LateralJoin
+    LocalLimit LocalRelation LogicalRDD LogicalRelation OneRowRelation Offset Pivot Project Range RebalancePartitions
+    Repartition RepartitionByExpression ResolvedHint ResolvedInlineTable Sample Sort SubqueryAlias Tail Union Unpivot
+    View Window WithCTE
+    """.split()
+)
+# Expressions that run code from outside the engine.
+_FOREIGN_CODE = re.compile(r"Reflect|Python|ScalaUD|Hive|ApplyFunctionExpression|V2Aggregator|UserDefined|TypedAgg")
 
 
 @dataclass
@@ -48,26 +58,50 @@ def sql_guard(text: str) -> str | None:
     return None
 
 
-def _runs_code(statement: str) -> bool:
-    bare = _COMMENTS.sub(lambda m: m.group(1) or " ", statement)
-    return bool(_RUNS_CODE.search(_LITERALS.sub("''", bare)))
+def _each(sequence) -> Iterator:
+    return (sequence.apply(i) for i in range(sequence.size()))
+
+
+def _refusal(plan) -> str | None:
+    """What makes an analysed plan more than a query, looking into subqueries as well."""
+    plans, expressions = [plan], []
+    while plans:
+        node = plans.pop()
+        name = node.getClass().getSimpleName()
+        if name not in _READING_NODES:
+            return name
+        plans += _each(node.children())
+        plans += _each(node.subqueries())
+        expressions += _each(node.expressions())
+    while expressions:
+        expression = expressions.pop()
+        name = expression.getClass().getSimpleName()
+        if _FOREIGN_CODE.search(name):
+            return name
+        expressions += _each(expression.children())
+    return None
 
 
 def read_only(spark: SparkSession, text: str) -> DataFrame:
     """The query as a DataFrame; raises ValueError unless it can only read.
 
-    Spark has no read-only transaction, but its grammar admits nothing except a query between
-    parentheses: ``WITH .. INSERT`` or any command is a syntax error there, and this first call
-    analyses only. The statement itself runs next, so unbalanced parentheses fail too.
+    Nothing runs before the decision. The text is analysed between parentheses, where the grammar
+    admits no command and no write, and without file paths as tables; every node and expression of
+    the analysed plan must then be one that reads.
     """
-    reason = sql_guard(text)
-    if reason is None and _runs_code(text):
-        reason = C.SQL_NOT_SELECT
-    if reason:
+    if reason := sql_guard(text):
         raise ValueError(reason)
     statement = _statements(text)[0]
-    spark.sql(f"SELECT * FROM (\n{statement}\n)")
-    return spark.sql(statement)
+    setting = "spark.sql.runSQLOnFiles"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        enclosed = spark.sql(f"SELECT * FROM (\n{statement}\n)")
+        if _refusal(enclosed._jdf.queryExecution().analyzed()):
+            raise ValueError(C.SQL_NOT_SELECT)
+        return spark.sql(statement)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def run_sql(

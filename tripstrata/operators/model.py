@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -27,25 +27,41 @@ def training_rows(silver: DataFrame) -> DataFrame:
     return with_pickup_hour(silver).select(*C.MODEL_FEATURES, C.MODEL_TARGET).dropna()
 
 
+def _row_hash(df: DataFrame, seed: int) -> Column:
+    """A hash of a row's values (numbers to 1e-8) and the seed; the same wherever it is computed."""
+    values = [F.rint(F.col(f"`{c}`").cast("double") * F.lit(1e8)).cast("bigint").cast("string") for c in df.columns]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(v, F.lit("-")) for v in values]))
+
+
+def _share(row_hash: Column) -> Column:
+    """A number in [0, 1) from the first 8 hex digits of a hash."""
+    return F.conv(F.substring(row_hash, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
 def bounded_sample(df: DataFrame, n: int = C.MODEL_SAMPLE_ROWS, seed: int = C.MODEL_SEED) -> DataFrame:
-    """All rows when there are at most ``n``, else exactly ``n`` random ones.
+    """All rows when there are at most ``n``, else exactly ``n``: those with the smallest row hashes.
 
-    A Bernoulli sample with a small margin runs where the data is; only those rows are put in
-    random order to drop the surplus.
+    The choice depends on values and seed only, not on partitions or retries. Rows are first cut by a
+    threshold with a margin, where the data is; only the rest is ordered. Should the margin not be
+    enough (many equal rows), all rows are ordered.
     """
+    hashed = df.withColumn("_hash", _row_hash(df, seed))
     total = df.count()
     if total <= n:
         return df
-    fraction = min(1.0, n / total * C.MODEL_SAMPLE_MARGIN)
-    return df.sample(fraction=fraction, seed=seed).orderBy(F.rand(seed)).limit(n)
+    cut = n / total * C.MODEL_SAMPLE_MARGIN + 6 * (n**0.5) / total
+    near = hashed.where(_share(F.col("_hash")) < F.lit(cut))
+    chosen = near if near.count() >= n else hashed
+    return chosen.orderBy("_hash").limit(n).drop("_hash")
 
 
 def train_test_split(
     df: DataFrame, test_share: float = C.MODEL_TEST_SHARE, seed: int = C.MODEL_SEED
 ) -> tuple[DataFrame, DataFrame]:
-    """Disjoint training and test rows. Give it stored rows: a recomputed sample could differ."""
-    train, test = df.randomSplit([1 - test_share, test_share], seed=seed)
-    return train, test
+    """Disjoint training and test rows by a hash of their values and the seed. Equal rows are on the
+    same side, and a row keeps its side however the data is partitioned."""
+    share = _share(_row_hash(df, seed + 1))
+    return df.where(share >= test_share), df.where(share < test_share)
 
 
 def forest() -> Pipeline:
@@ -82,18 +98,21 @@ def train_fare_model(silver: DataFrame, n: int | None = C.MODEL_SAMPLE_ROWS) ->
     The sample is spread again, since a limit leaves it in one partition, and checkpointed, so that
     a lost executor cannot change which rows are in it.
     """
-    spark, rows = silver.sparkSession, training_rows(silver)
+    spark, rows, started = silver.sparkSession, training_rows(silver), datetime.now(timezone.utc)
     shared_dir(spark)
     sample = rows if n is None else bounded_sample(rows, n).repartition(spark.sparkContext.defaultParallelism)
     sample = sample.checkpoint()
     train, test = train_test_split(sample)
     model = forest().fit(train)
     metrics = regression_metrics(model.transform(test)).first().asDict()
-    return model, {**metrics, "rows": sample.count()}
+    return model, {**metrics, "rows": sample.count(), "sample_limit": n, "started_at": started}
 
 
 def log_run(spark: SparkSession, root: str, model: PipelineModel, result: dict) -> str:
-    """Save the model under a new run id and append parameters and metrics to the runs table."""
+    """Save the model under a new run id and append parameters and metrics to the runs table.
+
+    A run counts from ``result["started_at"]``, the time before the fit; now, if that is missing.
+    """
     run_id = uuid.uuid4().hex
     path = f"{root}/models/{run_id}"
     model.save(path)
@@ -102,9 +121,10 @@ def log_run(spark: SparkSession, root: str, model: PipelineModel, result: dict)
         "depth": C.MODEL_DEPTH,
         "seed": C.MODEL_SEED,
         "features": ",".join(C.MODEL_FEATURES),
+        "sample_limit": result.get("sample_limit"),
     }
     metrics = {name: result[name] for name in ("mae", "rmse", "r2")}
-    started = datetime.now(timezone.utc)
+    started = result.get("started_at") or datetime.now(timezone.utc)
     row = (run_id, started, path, json.dumps(params), json.dumps(metrics), result["rows"])
     runs = spark.createDataFrame([row], schemas.MODEL_RUNS)
     runs.coalesce(1).write.mode("append").parquet(f"{root}/model_runs")

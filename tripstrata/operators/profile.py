@@ -50,17 +50,26 @@ def profile_preview(df: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def profile_describe(df: DataFrame) -> DataFrame:
-    """Count, mean, standard deviation, minimum, quartiles and maximum per numeric column."""
-    long = _long(df, _numeric(df))
-    value = F.col("column_value")
-    moments = long.groupBy("column_name").agg(
-        F.count(value).alias("value_count"),
-        exact_avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    quartiles = exact_percentiles(long, "column_value", _QUARTILES, ["column_name"])
+    """Count, mean, standard deviation, minimum, quartiles and maximum per numeric column.
+
+    The moments of all columns are one aggregation over the rows as they are; only the quartiles
+    need a row for each value. Means are plain double means, so values of any size keep their digits.
+    """
+    columns = _numeric(df)
+
+    def moments_of(name: str) -> Column:
+        value = F.col(f"`{name}`").cast("double")
+        return F.struct(
+            F.lit(name).alias("column_name"),
+            F.count(value).alias("value_count"),
+            F.avg(value).alias("mean"),
+            F.stddev_samp(value).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        )
+
+    moments = df.agg(F.array(*map(moments_of, columns)).alias("_columns")).select(F.inline("_columns"))
+    quartiles = exact_percentiles(_long(df, columns), "column_value", _QUARTILES, ["column_name"])
     return moments.join(quartiles, "column_name", "left").select(
         "column_name", "value_count", "mean", "std", "min", *_QUARTILES, "max"
     )

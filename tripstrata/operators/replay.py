@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,28 +17,46 @@ def _in_order(df: DataFrame) -> list[str]:
     return [C.PICKUP, *[c for c in df.columns if c != C.PICKUP]]
 
 
-def replay_select(silver: DataFrame, day=None, limit: int | None = C.REPLAY_DEFAULT_LIMIT) -> DataFrame:
-    """First trips of one day by pickup time; the latest day unless one is given.
+def replay_select(
+    silver: DataFrame, day=None, limit: int | None = C.REPLAY_DEFAULT_LIMIT, max_limit: int | None = None
+) -> DataFrame:
+    """First ``limit`` trips of one day by pickup time; the latest day unless one is given.
 
-    The latest day is read as one value first: as a literal it reaches the scan as a range filter.
+    Without a limit the whole day is selected. A caller that serves strangers passes ``max_limit``; a
+    larger or missing limit is then cut to it, with a warning. The latest day is read as one value
+    first: as a literal it reaches the scan as a range filter.
     """
     if day is None:
         day = max_pickup_date(silver).first()[0]
         if day is None:
             raise ValueError("no Silver trips to replay")
-    rows = max(1, min(int(limit or C.REPLAY_DEFAULT_LIMIT), C.REPLAY_MAX_LIMIT))
-    return trips_of_day(silver, day).orderBy(*_in_order(silver)).limit(rows)
+    if max_limit is not None and (limit is None or limit > max_limit):
+        warnings.warn(f"replay is cut to {max_limit} trips", stacklevel=2)
+        limit = max_limit
+    chosen = trips_of_day(silver, day).orderBy(*_in_order(silver))
+    return chosen if limit is None else chosen.limit(max(1, int(limit)))
 
 
 def replay_schedule(
     selected: DataFrame, rate: float | None = C.REPLAY_DEFAULT_RATE, speed: int = 1
 ) -> DataFrame:
-    """Event number and send time at a flat rate, for the at most 5,000 trips of ``replay_select``."""
+    """Event number and send time at a flat rate, in order of pickup.
+
+    Trips are numbered within their minute; each minute starts where the trips before it end, which
+    takes one ordered pass over the minutes, not over the trips.
+    """
     if speed not in C.REPLAY_SPEEDS:
         raise ValueError(f"speed must be one of {C.REPLAY_SPEEDS}")
     per_second = max(C.REPLAY_MIN_RATE, min(float(rate or C.REPLAY_DEFAULT_RATE), C.REPLAY_MAX_RATE))
-    number = F.row_number().over(Window.orderBy(*_in_order(selected))) - 1
-    return selected.withColumn("event_number", number).withColumn(
+    minute = F.date_trunc("minute", F.col(C.PICKUP)).alias("_minute")
+    earlier = Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    starts = selected.groupBy(minute).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(F.col("_minute").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_minute").orderBy(*_in_order(selected))) - 1
+    numbered = selected.withColumn("_minute", minute).withColumn("_within", within)
+    joined = numbered.join(starts, F.col("_minute").eqNullSafe(F.col("_at")))
+    number = (F.col("_start") + F.col("_within")).cast("bigint")
+    return joined.select(*selected.columns, number.alias("event_number")).withColumn(
         "send_at_s", F.col("event_number") / F.lit(per_second * speed)
     )
 

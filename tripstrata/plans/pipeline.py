@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .. import schemas
 from ..operators import model as fares
 from ..operators.features import publish_online, zone_hour_features
 from ..operators.gold import BUILDERS, trip_rollup
@@ -24,6 +25,8 @@ def run_silver(spark: SparkSession, root: str) -> DataFrame:
     The report is counted from what was stored: that reads a few columns, not the rules again.
     """
     periods = list(lake.period_files(spark, lake.bronze_path(root)))
+    if not periods:  # nothing ingested: an empty report
+        return spark.createDataFrame([], schemas.QUALITY_REPORT)
     written = lake.write_routed(with_outcome(lake.load_bronze(spark, root)), root)
     lake.drop_unwritten(spark, root, written, periods)
     # Periods that left Bronze since an earlier run are no part of this one; their folders are pruned.

@@ -41,49 +41,83 @@ def _read_schema(spark: SparkSession, path: str) -> T.StructType | None:
         return None
 
 
+def _data_files(spark: SparkSession, path: str) -> list[str]:
+    """The file itself, or the data files of a period's folder."""
+    names = [name for name in files.children(spark, path) if not name.startswith(("_", "."))]
+    inside = [f"{path}/{name}" for name in names if not path.endswith(f"/{name}")]
+    return inside or [path]
+
+
+def _gate(spark: SparkSession, path: str) -> tuple[T.StructType | None, str | None]:
+    """Schema of a period's files, and the reason to refuse them: every footer must hold the contract."""
+    first = None
+    for file in _data_files(spark, path):
+        found = _read_schema(spark, file)
+        reason = schema_gate(found) if found else f"unreadable file {file}"
+        if reason:
+            return None, reason
+        first = first or found
+    return first, None
+
+
 def _period_of_file():
     return F.regexp_extract(F.col("_metadata.file_path"), r".*/(?:period=)?(\d{4}-\d{2})(?:\.parquet)?(?:/|$)", 1)
 
 
+def _copy(spark: SparkSession, schema: T.StructType, group: dict[str, str], root: str) -> dict[str, tuple]:
+    """Write the periods of one schema; results by period."""
+    try:
+        raw = spark.read.schema(schema).parquet(*group.values())
+        rows = raw.withColumn("period", _period_of_file())
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("period").parquet(bronze_path(root))
+        # Selects no data column, so only footers are read.
+        counts = dict(raw.groupBy(_period_of_file()).count().collect())
+    except (PySparkException, Py4JJavaError):
+        periods = list(group)
+        if len(periods) == 1:
+            return {periods[0]: ("REJECTED", f"unreadable data in {group[periods[0]]}")}
+        results: dict[str, tuple] = {}
+        for half in (periods[: len(periods) // 2], periods[len(periods) // 2 :]):
+            results |= _copy(spark, schema, {period: group[period] for period in half}, root)
+        return results
+    results = {}
+    for period in group:
+        partition = f"{bronze_path(root)}/period={period}"
+        if not counts.get(period) and files.exists(spark, partition):
+            files.delete(spark, partition)
+        results[period] = ("OK", None, counts.get(period, 0), partition)
+    return results
+
+
 def ingest_bronze(
     spark: SparkSession, landing: str, root: str, periods: list[str] | None = None
 ) -> DataFrame:
-    """Copy each period's file to Bronze if its schema holds; a bad one stops no other.
+    """Copy each period's files to Bronze if their schemas hold; a bad period stops no other.
 
     Footers are read a few at a time, data in one job per distinct schema, which is one job unless
-    files carry extra columns. Files are copied as they are, NaN included.
+    files carry extra columns. Should a job fail on damaged pages, its periods are tried in halves, so
+    the damaged ones are found and the others land. Files are copied as they are, NaN included.
     """
     available = period_files(spark, landing)
     wanted = sorted(available) if periods is None else periods
     present = [period for period in wanted if period in available]
     with ThreadPool(_FOOTERS_AT_A_TIME) as pool:
-        footers = dict(zip(present, pool.map(lambda period: _read_schema(spark, available[period]), present)))
+        footers = dict(zip(present, pool.map(lambda period: _gate(spark, available[period]), present)))
     results: dict[str, tuple] = {}
     by_schema: dict[str, dict[str, str]] = defaultdict(dict)
     for period in wanted:
-        path, found = available.get(period), footers.get(period)
+        path, (found, reason) = available.get(period), footers.get(period, (None, None))
         if path is None:
             results[period] = ("UNAVAILABLE", f"no raw file for {period} in {landing}")
             continue
-        reason = schema_gate(found) if found else f"unreadable file {path}"
         if reason:
             results[period] = ("REJECTED", reason)
         else:
             by_schema[found.json()][period] = path
 
     for text, group in by_schema.items():
-        schema = T.StructType.fromJson(json.loads(text))
-        raw = spark.read.schema(schema).parquet(*group.values())
-        rows = raw.withColumn("period", _period_of_file())
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("period").parquet(bronze_path(root))
-        # Selects no data column, so only footers are read.
-        counts = dict(raw.groupBy(_period_of_file()).count().collect())
-        for period in group:
-            partition = f"{bronze_path(root)}/period={period}"
-            if not counts.get(period) and files.exists(spark, partition):
-                files.delete(spark, partition)
-            results[period] = ("OK", None, counts.get(period, 0), partition)
+        results |= _copy(spark, T.StructType.fromJson(json.loads(text)), group, root)
 
     rows = [(period, *(verdict + (None, None))[:4]) for period, verdict in sorted(results.items())]
     return spark.createDataFrame(rows, schemas.INGEST_RESULT)

@@ -91,8 +91,12 @@ def load_routed(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_silver(spark: SparkSession, root: str) -> DataFrame:
-    """Accepted rows of every period; only their partitions are listed and read."""
-    return load_routed(spark, root).where(F.col("outcome") == C.ACCEPTED).drop("outcome")
+    """Accepted rows of every period; only their folder is listed. Without it there are none."""
+    base = silver_path(root)
+    if not files.exists(spark, f"{base}/outcome={C.ACCEPTED}"):
+        return spark.createDataFrame([], schemas.ROUTED_TABLE).drop("outcome")
+    reader = spark.read.schema(schemas.ROUTED_TABLE).option("basePath", base)
+    return reader.parquet(f"{base}/outcome={C.ACCEPTED}").drop("outcome")
 
 
 def load_quarantine(spark: SparkSession, root: str) -> DataFrame:
@@ -172,13 +176,36 @@ def write_gold(table: DataFrame, root: str, name: str) -> str:
     return path
 
 
-def publish_table(df: DataFrame, name: str, jdbc: dict[str, str] | None = None) -> None:
-    """Replace the contents of a catalog table, or of a JDBC table; NaN becomes NULL."""
+def _beside(name: str, suffix: str) -> str:
+    """A table name next to ``name``, quoted or not."""
+    return f"{name[:-1]}__{suffix}`" if name.endswith("`") else f"{name}__{suffix}"
+
+
+def publish_table(
+    df: DataFrame, name: str, jdbc: dict[str, str] | None = None, grain: tuple[str, ...] | list[str] = ()
+) -> None:
+    """Replace the contents of a catalog table, or of a JDBC table; NaN becomes NULL.
+
+    A catalog table is written beside the old one first and takes its name when it is complete and
+    no key of its ``grain`` occurs twice; until then the old one stays.
+    """
     rows = nan_to_null(df)
     if jdbc:
         rows.write.format("jdbc").options(**jdbc, dbtable=name, truncate="true").mode("overwrite").save()
     else:
-        rows.write.mode("overwrite").saveAsTable(name)
+        spark, staging = df.sparkSession, _beside(name, "staging")
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        rows.write.saveAsTable(staging)
+        keys = list(grain)
+        if keys and not spark.table(staging).groupBy(*keys).count().where("count > 1").isEmpty():
+            spark.sql(f"DROP TABLE {staging}")
+            raise ValueError(f"{name} has more than one row for a key of {keys}")
+        old = _beside(name, "old")
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
+        if spark.catalog.tableExists(name):
+            spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -265,6 +292,9 @@ def reset_layers(spark: SparkSession, root: str, database: str | None = None) ->
         done.append(("folder", layer, len(files.children(spark, path))))
         files.delete(spark, path)
     files.delete(spark, online)
+    # Both are derived from what was just cleared.
+    for derived in ("trip_rollup", "quality_report"):
+        files.delete(spark, f"{root}/{derived}")
     done.append(("online", "features", keys))
     if database and spark.catalog.databaseExists(database):
         for name in (*C.GOLD_TABLES, C.FEATURE_TABLE):

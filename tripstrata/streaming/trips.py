@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import constants as C
 from .. import schemas
 from ..functions.fixed_point import exact_sum
+from ..sources import files
 
 _CORRUPT = "_corrupt"
 _EVENT = T.StructType([*schemas.SILVER.fields, T.StructField(_CORRUPT, T.StringType())])
@@ -36,10 +37,13 @@ def stream_trips(
     since: datetime | None = None,
     starting_offsets: str = "earliest",
     max_files: int | None = None,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Decoded trips from a folder of JSON lines, or from the Kafka topic when brokers are given.
 
-    ``starting_offsets="latest"`` skips the backlog; for a folder, files older than ``since``.
+    ``starting_offsets="latest"`` skips the backlog; for a folder, files older than ``since`` (now, if
+    not given). With the query's ``checkpoint`` that moment is stored beside it at the first start and
+    used again at every other, so what arrives while the query is stopped is read after a restart.
     """
     if starting_offsets not in ("earliest", "latest"):
         raise ValueError("starting_offsets must be earliest or latest")
@@ -57,11 +61,21 @@ def stream_trips(
         reader = reader.option("maxFilesPerTrigger", max_files)
     events = reader.load(path)
     if starting_offsets == "latest":
-        start = since or datetime.now().astimezone()
+        start = _first_start(spark, since or datetime.now().astimezone(), checkpoint)
         events = events.where(F.col("_metadata.file_modification_time") >= F.lit(start))
     return decode_trips(events)
 
 
+def _first_start(spark: SparkSession, moment: datetime, checkpoint: str | None) -> datetime:
+    if checkpoint is None:
+        return moment
+    path = f"{checkpoint.rstrip('/')}-start"
+    if not files.exists(spark, f"{path}/_SUCCESS"):
+        row = spark.createDataFrame([(moment.timestamp(),)], "started double")
+        row.coalesce(1).write.mode("overwrite").parquet(path)
+    return datetime.fromtimestamp(spark.read.parquet(path).first()[0], tz=timezone.utc)
+
+
 def stream_hourly(trips: DataFrame) -> DataFrame:
     """Trips and revenue per hour of pickup, for a stream or for stored trips.
 
