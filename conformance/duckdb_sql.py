@@ -609,3 +609,64 @@ ORACLE: dict[str, str] = {
         FROM orders ORDER BY o_orderkey LIMIT 500""",
     **ADHOC,
 }
+
+# --- Samples by row hash ------------------------------------------------------------------------
+
+_FEATURES = ("trip_distance", '"PULocationID"', '"DOLocationID"', "passenger_count", "pickup_hour", "fare_amount")
+
+
+def _hashed(seed: int) -> str:
+    parts = ", ".join(f"CAST(CAST(round_even(CAST({c} AS DOUBLE) * 1e8, 0) AS BIGINT) AS VARCHAR)" for c in _FEATURES)
+    return f"SELECT *, md5(concat_ws('|', '{seed}', {parts})) AS h FROM ({ORACLE['drop_incomplete']})"
+
+
+_IN_TEST = "CAST('0x' || substr(h, 1, 8) AS UBIGINT) / 4294967296.0::DOUBLE < 0.2"
+ORACLE["train_test_split"] = (
+    f"SELECT * EXCLUDE (h), CASE WHEN {_IN_TEST} THEN 'test' ELSE 'train' END AS part FROM ({_hashed(43)})"
+)
+ORACLE["bounded_sample"] = f"SELECT * EXCLUDE (h) FROM ({_hashed(42)}) ORDER BY h LIMIT 3000"
+
+# --- Files of the test tables ---------------------------------------------------------------------
+
+_ALL_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+ORACLE["storage_stats"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS layer, CAST(1 AS BIGINT) AS file_count, COUNT(*) AS total_rows, true AS has_bytes FROM {name}"
+    for name in _ALL_TABLES
+)
+ORACLE["lake_inventory"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS layer, CAST(1 AS BIGINT) AS object_count, COUNT(*) > 0 AS has_bytes, true AS ordered FROM {name}"
+    for name in _ALL_TABLES
+)
+
+# --- Round trips give back what the batch operator computes -----------------------------------------
+
+ORACLE |= {
+    "ingest_bronze": _bronze("SELECT * FROM bronze"),
+    "write_silver": ORACLE["load_silver"],
+    "write_quarantine": ORACLE["quarantine_rows"],
+    "write_quality_report": ORACLE["quality_report"],
+    "write_gold": ORACLE["hourly_demand"],
+    "read_gold": ORACLE["daily_revenue"],
+    "publish_table": ORACLE["daily_revenue"],
+    "export_csv": ORACLE["daily_revenue"],
+    # An hour is closed when the latest pickup is an hour past its end.
+    "stream_sink": f"""
+        WITH hours AS ({ORACLE["stream_hourly"]})
+        SELECT * FROM hours WHERE window_end <= (SELECT MAX(window_start) FROM hours) - INTERVAL 1 HOUR""",
+    "replay_day": _silver(
+        f"""SELECT tpep_pickup_datetime, tpep_dropoff_datetime, "PULocationID", total_amount,
+               ROW_NUMBER() OVER (ORDER BY {_REPLAY_ORDER}) - 1 AS event_number,
+               (ROW_NUMBER() OVER (ORDER BY {_REPLAY_ORDER}) - 1) / 1000.0::DOUBLE AS send_at_s
+        FROM (SELECT * REPLACE (TIMESTAMP '2024-01-05' + (tpep_pickup_datetime - date_trunc('day', tpep_pickup_datetime))
+                                AS tpep_pickup_datetime) FROM silver)"""
+    ),
+    "sql_guard": """
+        SELECT r_name, CAST(text_number AS INTEGER) AS text_number, reason
+        FROM region JOIN (VALUES (0, 'SQL query cannot be empty.'), (1, NULL), (2, NULL), (3, NULL),
+            (4, 'Only SELECT queries are allowed.'), (5, 'Only SELECT queries are allowed.'),
+            (6, 'Only a single SQL statement is allowed.'), (7, 'Only a single SQL statement is allowed.')
+        ) AS guarded(text_number, reason) ON text_number % 5 = r_regionkey""",
+}

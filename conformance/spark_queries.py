@@ -28,6 +28,7 @@ TABLES = (
 ).split()
 NOW = "2024-02-01 00:00:00"
 DECIMALS = 9
+SAMPLE_ROWS = 3_000
 
 
 def _on_bronze(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -68,12 +69,15 @@ def _month_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand_months(bounds)
 
 
-def _quality_report(bronze: DataFrame) -> DataFrame:
-    report = silver.quality_report(bronze)
+def _flat_report(report: DataFrame) -> DataFrame:
     missing = [F.col(f"missing_value_counts.{c}").alias(f"missing_{c}") for c in C.MONITORED_COLUMNS]
     return report.select(*[c for c in report.columns if c != "missing_value_counts"], *missing)
 
 
+def _quality_report(bronze: DataFrame) -> DataFrame:
+    return _flat_report(silver.quality_report(bronze))
+
+
 def _run_gold(trips_: DataFrame) -> DataFrame:
     """Rows and trips of the four Gold tables and the features, all from one stored rollup."""
     cells = stored(gold.trip_rollup(trips_), "rollup")
@@ -221,11 +225,111 @@ def _table_files(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
 
 
 def _storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lake.storage_stats(spark, _table_files(spark, sf_dir))
+    """Files and rows of each table; bytes have no SQL twin, so only their presence is compared."""
+    stats = lake.storage_stats(spark, _table_files(spark, sf_dir))
+    return stats.select("layer", "file_count", "total_rows", (F.col("bytes_per_row") > 0).alias("has_bytes"))
 
 
 def _lake_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lake.lake_inventory(spark, _table_files(spark, sf_dir))
+    found = lake.lake_inventory(spark, _table_files(spark, sf_dir))
+    ordered = F.col("oldest") <= F.col("newest")
+    return found.select("layer", "object_count", (F.col("total_bytes") > 0).alias("has_bytes"), ordered.alias("ordered"))
+
+
+# --- Round trips: written by one function, read back by another --------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _write_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _folder(spark, "silver")
+    lake.write_silver(silver.with_outcome(adapters.bronze(spark, sf_dir)), root)
+    return lake.load_silver(spark, root)
+
+
+def _write_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _folder(spark, "quarantine")
+    lake.write_quarantine(silver.with_outcome(adapters.bronze(spark, sf_dir)), root)
+    return lake.load_quarantine(spark, root).withColumnRenamed("rule", "category")
+
+
+def _write_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _folder(spark, "report")
+    lake.write_quality_report(silver.quality_report(adapters.bronze(spark, sf_dir)), root)
+    return _flat_report(lake.read_quality_report(spark, root))
+
+
+def _gold_round_trip(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = _folder(spark, "gold")
+        lake.write_gold(gold.BUILDERS[name](adapters.silver(spark, sf_dir)), root, name)
+        return lake.read_gold(spark, root, name)
+
+    return run
+
+
+def _publish_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"published_{uuid.uuid4().hex}"
+    table = gold.daily_revenue(adapters.silver(spark, sf_dir))
+    for _ in range(2):  # the second time there is a table to replace
+        lake.publish_table(table, name, grain=["pickup_date"])
+    return spark.table(name)
+
+
+def _export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, table = _folder(spark, "csv"), gold.daily_revenue(adapters.silver(spark, sf_dir))
+    lake.export_csv(table, path)
+    return spark.read.schema(table.schema).option("header", "true").csv(path)
+
+
+def _ingest_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing files through the gate into Bronze, and read back."""
+    base = _folder(spark, "ingest")
+    landing = f"{base}/landing"
+    adapters.bronze(spark, sf_dir).repartition("period").write.partitionBy("period").parquet(landing)
+    ingest.ingest_bronze(spark, landing, base)
+    return lake.load_bronze(spark, base)
+
+
+def _stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips published to a topic folder, streamed, and the closed hours read from the sink."""
+    base = _folder(spark, "stream")
+    replay.replay_publish(adapters.silver(spark, sf_dir).drop("period"), f"{base}/topic")
+    hourly = trips.stream_hourly(trips.stream_trips(spark, f"{base}/topic"))
+    query = trips.start_hourly(hourly, f"{base}/hours", f"{base}/checkpoint", "append", available_now=True)
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/hours")
+
+
+def _replay_day(trips_: DataFrame) -> DataFrame:
+    """All trips moved to one day, selected without a limit and scheduled."""
+    clock = F.expr(f"timestamp_ntz'2024-01-05' + ({C.PICKUP} - date_trunc('day', {C.PICKUP}))")
+    one_day = trips_.withColumn(C.PICKUP, clock.cast("timestamp_ntz"))
+    scheduled = replay.replay_schedule(replay.replay_select(one_day, "2024-01-05", None), rate=100.0, speed=10)
+    return scheduled.select(C.PICKUP, C.DROPOFF, C.PICKUP_ZONE, "total_amount", "event_number", "send_at_s")
+
+
+GUARDED = (
+    "",
+    "select 1",
+    "SELECT 1;",
+    "with x as (select 1) select * from x",
+    "delete from orders",
+    "-- select 1",
+    "select 1; select 2",
+    "select ';' as x",
+)
+
+
+def _sql_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on a list of texts, for every region."""
+    rows = [(number, adhoc.sql_guard(text)) for number, text in enumerate(GUARDED)]
+    verdicts = spark.createDataFrame(rows, "text_number int, reason string")
+    regions = adapters.table(spark, sf_dir, "region")
+    share = F.pmod(F.col("text_number"), F.lit(5)) == F.col("r_regionkey")
+    return regions.join(verdicts, share).select("r_name", "text_number", "reason")
 
 
 def _with_views(spark: SparkSession, sf_dir: str) -> None:
@@ -267,6 +371,16 @@ QUERIES: dict[str, Query] = {
     "publish_online": _on_silver(_online),
     "lake_inventory": _lake_inventory,
     "storage_stats": _storage_stats,
+    # Round trips
+    "ingest_bronze": _ingest_bronze,
+    "write_silver": _write_silver,
+    "write_quarantine": _write_quarantine,
+    "write_quality_report": _write_quality_report,
+    "write_gold": _gold_round_trip("hourly_demand"),
+    "read_gold": _gold_round_trip("daily_revenue"),
+    "publish_table": _publish_table,
+    "export_csv": _export_csv,
+    "stream_sink": _stream_sink,
     # Silver rules
     **_rules(),
     "monitor_nulls": _on_bronze(silver.monitor_nulls),
@@ -310,6 +424,7 @@ QUERIES: dict[str, Query] = {
     "replay_select": _on_silver(replay.replay_select),
     "replay_schedule_flat": _on_silver(_replay_flat),
     "replay_schedule_gap": _on_silver(_replay_gap),
+    "replay_day": _on_silver(_replay_day),
     "replay_gaps": _on_silver(lambda rows: replay.replay_gaps(rows, 3600.0)),
     "gold_ordering": _on_silver(
         lambda rows: gold.hourly_demand(gold.trip_rollup(rows)).orderBy(*gold.gold_order("hourly_demand"))
@@ -323,7 +438,7 @@ QUERIES: dict[str, Query] = {
     "skip_malformed": _on_silver(_skip_malformed),
     "topic_stats": _on_events(adapters.topic_offsets, topics.topic_stats),
     # Model
-    "bounded_sample": _on_silver(lambda rows: model.bounded_sample(model.training_rows(rows))),
+    "bounded_sample": _on_silver(lambda rows: model.bounded_sample(model.training_rows(rows), SAMPLE_ROWS)),
     "train_test_split": _on_silver(_split),
     "train_fare_model": _train_fare_model,
     "regression_metrics": _on_silver(_regression_metrics),
@@ -361,5 +476,6 @@ QUERIES: dict[str, Query] = {
     "svc_p95_by_handler": _on_requests(lambda log: _rounded(service.svc_p95_by_handler(log), "p95")),
     # Ad-hoc SQL
     "run_sql": _run_sql,
+    "sql_guard": _sql_guard,
     **{name: _adhoc(text) for name, text in ADHOC.items()},
 }

@@ -11,10 +11,6 @@ from tests.compare import connect, duck_rows, spark_rows, spark_types
 from tests.helpers import plan
 
 ROWS_ONLY = {
-    "lake_inventory",
-    "storage_stats",
-    "bounded_sample",
-    "train_test_split",
     "train_fare_model",
     "score_fares",
 }
