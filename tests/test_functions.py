@@ -106,3 +106,15 @@ def test_micros_do_not_depend_on_the_session_zone(spark):
             assert df.first().us == 3_600_750_000
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_percentiles_leave_nan_out(spark):
+    row = exact_percentiles(_values(spark, [-5.0, 1.0, 2.0, 3.0, math.nan, None]), "v", {"p50": 0.5, "p99": 0.99}).first()
+    assert row.p50 == 1.5 and row.p99 == pytest.approx(2.97)
+
+
+def test_profile_keeps_small_values(spark):
+    from tripstrata.operators.profile import profile_describe
+
+    row = profile_describe(_values(spark, [1e-9, 3e-9])).first()
+    assert row["mean"] == pytest.approx(2e-9, rel=1e-12) and row["value_count"] == 2

@@ -6,12 +6,13 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import write_landing
 from tests.helpers import BASE, bronze
 from tripstrata import constants as C
 from tripstrata import schemas
-from tripstrata.operators import gold, silver
+from tripstrata.operators import gold, runlog, silver
 from tripstrata.plans import pipeline
-from tripstrata.sources import adapters, files, lake
+from tripstrata.sources import adapters, files, lake, runs
 from tripstrata.sources.ingest import ingest_bronze, ingest_rollup, schema_gate
 
 
@@ -68,6 +69,64 @@ def test_ingest_gates_each_period(spark, tmp_path):
     assert lake.list_periods(spark, f"{root}/nowhere").count() == 0
 
 
+def test_damaged_periods_stop_no_other(spark, tmp_path):
+    landing, root = f"{tmp_path}/landing", f"{tmp_path}/lake"
+    rows = bronze(spark, *[{"fare_amount": float(n)} for n in range(2000)])
+    for period in ("2024-01", "2024-02", "2024-03", "2024-04"):
+        _land(rows, landing, period)
+    # A sound footer over damaged pages, and a second file with a wrong type.
+    (damaged,) = Path(f"{landing}/2024-02.parquet").glob("part-*.parquet")
+    content = bytearray(damaged.read_bytes())
+    content[4 : len(content) // 2] = b"\xff" * (len(content) // 2 - 4)
+    damaged.write_bytes(content)
+    for checksum in Path(f"{landing}/2024-02.parquet").glob(".*.crc"):
+        checksum.unlink()
+    wrong = rows.drop("period").withColumn("VendorID", F.col("VendorID").cast("bigint"))
+    wrong.coalesce(1).write.mode("append").parquet(f"{landing}/2024-03.parquet")
+    results = ingest_bronze(spark, landing, root)
+    assert _statuses(results) == {
+        "2024-01": ("OK", 2000),
+        "2024-02": ("REJECTED", None),
+        "2024-03": ("REJECTED", None),
+        "2024-04": ("OK", 2000),
+    }
+    stored = lake.load_bronze(spark, root)
+    assert dict(stored.groupBy("period").count().collect()) == {"2024-01": 2000, "2024-04": 2000}
+
+
+def test_every_stage_is_logged(spark, small, tmp_path):
+    landing, root = f"{tmp_path}/landing", f"{tmp_path}/lake"
+    write_landing(adapters.bronze(spark, small), landing)
+    found = pipeline.run_all(spark, landing, root)
+    log = runs.read_runs(spark, root)
+    health = {row["job_type"]: row["succeeded"] for row in runlog.etl_health(log).collect()}
+    assert health == {"ingest": 1, "silver": 1, "gold": 1, "features": 1, "train": 1}
+    assert runlog.latest_silver_rows(log).first()[0] == lake.load_bronze(spark, root).count()
+    assert runlog.months_ingested(log).first()[0] == found["ingest"].count()
+    with pytest.raises(RuntimeError), pipeline.logged(spark, root, "gold"):
+        raise RuntimeError("stopped")
+    log = runs.read_runs(spark, root)
+    assert [tuple(r) for r in log.where("status = 'failed'").select("job_type", "error").collect()] == [("gold", "stopped")]
+    assert runs.clear_runs(spark, root) == 6 and runs.read_runs(spark, root).count() == 0
+
+
+def test_silver_of_an_empty_lake(spark, tmp_path):
+    assert pipeline.run_silver(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def test_publish_checks_the_grain_first(spark):
+    name = "default.publish_check"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    good = spark.createDataFrame([(1, 1.0), (2, float("nan"))], "k int, v double")
+    lake.publish_table(good, name, grain=["k"])
+    lake.publish_table(good, name, grain=["k"])
+    with pytest.raises(ValueError):
+        lake.publish_table(good.union(good), name, grain=["k"])
+    assert sorted(map(tuple, spark.table(name).collect())) == [(1, 1.0), (2, None)]
+    assert [t.name for t in spark.catalog.listTables("default") if t.name.startswith("publish_check")] == ["publish_check"]
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_ingest_rollup_edges(spark):
     def rollup(*rows):
         return ingest_rollup(spark.createDataFrame(list(rows), schemas.INGEST_RESULT)).first()

@@ -55,3 +55,29 @@ def test_train_log_load_score(spark, lake_root):
     assert scored.count() == trips.count()
     assert scored.where("predicted_fare IS NULL").count() == 0
     assert scored.where("predicted_fare <> round(predicted_fare, 2)").count() == 0
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    rows = spark.range(5000).selectExpr("id * 0.5D AS a", "id % 7 AS b")
+    for n in (1, 10, 700):
+        one = sorted(map(tuple, model.bounded_sample(rows.repartition(3), n).collect()))
+        two = sorted(map(tuple, model.bounded_sample(rows.repartition(11, "b"), n).collect()))
+        assert one == two and len(one) == n
+    train, test = model.train_test_split(rows.repartition(3))
+    again, _ = model.train_test_split(rows.repartition(11, "b"))
+    assert sorted(map(tuple, train.collect())) == sorted(map(tuple, again.collect()))
+    assert train.count() + test.count() == 5000 and 850 < test.count() < 1150 and train.intersect(test).count() == 0
+
+
+def test_forest_learns_a_known_fare(spark):
+    noise = "(rand(3) - 0.5)"
+    trips = spark.range(4000).selectExpr(
+        "CAST(id % 50 AS DOUBLE) AS trip_distance",
+        "CAST(id % 263 AS INT) AS PULocationID",
+        "CAST(id % 101 AS INT) AS DOLocationID",
+        "CAST(1 + id % 3 AS DOUBLE) AS passenger_count",
+        "timestamp_ntz'2024-01-05 10:00:00' AS tpep_pickup_datetime",
+        f"3 + 2.5D * (id % 50) + {noise} AS fare_amount",
+    )
+    _, quality = model.train_fare_model(trips)
+    assert quality["r2"] > 0.8 and quality["rows"] == 4000

@@ -114,6 +114,28 @@ def test_latest_skips_the_backlog(spark, tmp_path):
         trips.stream_trips(spark, f"{tmp_path}/topic", starting_offsets="now")
 
 
+def test_latest_keeps_its_start_over_a_restart(spark, tmp_path):
+    put(f"{tmp_path}/topic", "1.json", event("07:00:00"))
+    old = time.time() - 60
+    os.utime(f"{tmp_path}/topic/1.json", (old, old))
+
+    def run():
+        stream = trips.stream_trips(
+            spark, f"{tmp_path}/topic", starting_offsets="latest", checkpoint=f"{tmp_path}/cp"
+        )
+        drain(trips.start_hourly(trips.stream_hourly(stream), f"{tmp_path}/out", f"{tmp_path}/cp", available_now=True))
+
+    time.sleep(1.1)
+    put(f"{tmp_path}/topic", "0.json", event("06:00:00"))
+    os.utime(f"{tmp_path}/topic/0.json", (old, old))
+    run()
+    assert not Path(f"{tmp_path}/out").exists() or hours(spark, f"{tmp_path}/out") == {}
+    Path(f"{tmp_path}/topic/2.json").write_text(event("08:00:00") + "\n")  # arrives while the query is stopped
+    time.sleep(1.1)
+    run()
+    assert sorted(hours(spark, f"{tmp_path}/out")) == [8]
+
+
 def test_timeout_stops_a_running_query(spark, tmp_path):
     put(f"{tmp_path}/topic", "1.json", event("07:00:00"))
     stream = trips.stream_trips(spark, f"{tmp_path}/topic")

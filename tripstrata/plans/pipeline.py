@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +14,32 @@ from ..operators import model as fares
 from ..operators.features import publish_online, zone_hour_features
 from ..operators.gold import BUILDERS, trip_rollup
 from ..operators.silver import quality_report, with_outcome
-from ..sources import lake
-from ..sources.ingest import ingest_bronze
+from ..functions.times import month_range
+from ..sources import lake, runs
+from ..sources.ingest import ingest_bronze, ingest_rollup
+
+
+def run_ingest(
+    spark: SparkSession,
+    landing: str,
+    root: str,
+    periods: list[str] | None = None,
+    start: str | None = None,
+    end: str | None = None,
+) -> DataFrame:
+    """Ingest the given periods, the months from ``start`` to ``end``, or all that have landed."""
+    if periods is None and start and end:
+        periods = [row["period"] for row in month_range(spark, start, end).collect()]
+    return ingest_bronze(spark, landing, root, periods)
 
 
-def run_ingest(spark: SparkSession, landing: str, root: str, periods: list[str] | None = None) -> DataFrame:
-    return ingest_bronze(spark, landing, root, periods)
+_GRAINS = {
+    "daily_revenue": ["pickup_date"],
+    "hourly_demand": ["pickup_hour"],
+    "zone_stats": [C.PICKUP_ZONE],
+    "congestion_metrics": ["pickup_date"],
+    C.FEATURE_TABLE: [C.PICKUP_ZONE, "pickup_hour"],
+}
 
 
 def run_silver(spark: SparkSession, root: str) -> DataFrame:
@@ -54,7 +77,8 @@ def run_gold(
     for name, build in BUILDERS.items():
         path = lake.write_gold(build(source), root, name)
         if database:
-            lake.publish_table(lake.read_gold(spark, root, name), f"`{database}`.`{name}`")
+            table = lake.read_gold(spark, root, name)
+            lake.publish_table(table, f"`{database}`.`{name}`", grain=_GRAINS[name])
         done.append({"job": name, "path": path})
     return done
 
@@ -67,7 +91,7 @@ def run_features(
     lake.write_gold(zone_hour_features(source), root, C.FEATURE_TABLE)
     features = lake.read_gold(spark, root, C.FEATURE_TABLE)
     if database:
-        lake.publish_table(features, f"`{database}`.`{C.FEATURE_TABLE}`")
+        lake.publish_table(features, f"`{database}`.`{C.FEATURE_TABLE}`", grain=_GRAINS[C.FEATURE_TABLE])
     online = f"{root}/online_features"
     publish_online(features).write.mode("overwrite").parquet(online)
     return {
@@ -82,16 +106,54 @@ def run_training(spark: SparkSession, root: str, n: int | None = C.MODEL_SAMPLE_
     return {"run_id": fares.log_run(spark, root, model, result), **result}
 
 
-def run_all(spark: SparkSession, landing: str, root: str, database: str | None = None) -> dict:
-    """Ingest to training; Gold and features share one rollup of Silver."""
-    ingested = run_ingest(spark, landing, root)
-    report = run_silver(spark, root)
+@contextmanager
+def logged(spark: SparkSession, root: str, job_type: str, params: dict | None = None) -> Iterator[dict]:
+    """Run a stage under the run log. The block may set ``status``, ``rows``, ``error``, ``metrics`` and
+    ``params`` in the dict it is given; an exception is logged as a failed run and goes on."""
+    facts: dict = {"status": "succeeded", "params": params}
+    started = runs.now()
+    try:
+        yield facts
+    except Exception as problem:
+        facts |= {"status": "failed", "error": str(problem)}
+        raise
+    finally:
+        runs.append_run(spark, root, job_type, started=started, **facts)
+
+
+def run_all(
+    spark: SparkSession,
+    landing: str,
+    root: str,
+    database: str | None = None,
+    start: str | None = None,
+    end: str | None = None,
+) -> dict:
+    """Ingest to training; Gold and features share one rollup of Silver. Every stage is logged."""
+    with logged(spark, root, "ingest") as facts:
+        ingested = run_ingest(spark, landing, root, start=start, end=end)
+        summary = ingested.agg(F.min("period").alias("start"), F.max("period").alias("end")).first()
+        total = ingest_rollup(ingested).first()
+        facts |= {"status": total["status"], "rows": total["rows_processed"], "error": total["error"]}
+        facts["params"] = {"start": start or summary["start"], "end": end or summary["end"]}
+    with logged(spark, root, "silver") as facts:
+        report = run_silver(spark, root)
+        facts["rows"] = report.agg(F.sum("records_processed")).first()[0]
     rollup = refresh_rollup(spark, root)
+    with logged(spark, root, "gold"):
+        tables = run_gold(spark, root, database, rollup)
+    with logged(spark, root, "features") as facts:
+        built = run_features(spark, root, database, rollup)
+        facts["rows"] = built["feature_rows"]
+    with logged(spark, root, "train") as facts:
+        trained = run_training(spark, root)
+        facts |= {"rows": trained["rows"], "metrics": {name: trained[name] for name in ("mae", "rmse", "r2")}}
+        facts["params"] = {"sample_limit": trained["sample_limit"]}
     return {
         "ingest": ingested,
         "quality_report": report,
-        "gold": run_gold(spark, root, database, rollup),
-        "features": run_features(spark, root, database, rollup),
-        "training": run_training(spark, root),
+        "gold": tables,
+        "features": built,
+        "training": trained,
     }
 
