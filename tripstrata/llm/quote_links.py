@@ -71,32 +71,40 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def ancestors(parents: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(conv_id, turn, root_turn, depth)`` from ``(conv_id, turn, parent_turn)``, by doubling the
-    length of the step in each round."""
-    steps = scratch.store(
-        parents.select(
-            "conv_id",
-            "turn",
-            F.coalesce("parent_turn", "turn").alias("up"),
-            F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"),
-        )
+    """``(conv_id, turn, root_turn, depth)`` from ``(conv_id, turn, parent_turn)``.
+
+    Every message points at its parent, and in each round at what its target points at, so steps double.
+    A message that has reached its root leaves the rounds; only long chains stay for the later ones.
+    """
+    is_root = F.col("parent_turn").isNull()
+    pointers = parents.select(
+        "conv_id",
+        "turn",
+        F.coalesce("parent_turn", "turn").alias("up"),
+        F.when(is_root, 0).otherwise(1).cast("long").alias("depth"),
+        is_root.alias("final"),
     )
-    while True:
-        above = steps.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("upper"), F.col("depth").alias("more"))
-        joined = steps.join(above.filter("more > 0"), ["conv_id", "up"], "left")
+    settled, moving = scratch.store(pointers.filter("final")), scratch.store(pointers.filter("NOT final"))
+    while not moving.isEmpty():
+        targets = settled.union(moving).select(
+            F.col("conv_id").alias("conv"), F.col("turn").alias("at"), F.col("up").alias("upper"), "depth", "final"
+        )
+        targets = targets.withColumnsRenamed({"depth": "more", "final": "arrived"})
+        stepped = moving.join(targets, (F.col("conv_id") == F.col("conv")) & (F.col("up") == F.col("at")))
         moved = scratch.store(
-            joined.select(
+            stepped.select(
                 "conv_id",
                 "turn",
-                F.coalesce("upper", "up").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                F.col("more").isNotNull().alias("moved"),
+                F.col("upper").alias("up"),
+                (F.col("depth") + F.col("more")).alias("depth"),
+                F.col("arrived").alias("final"),
             )
         )
-        scratch.drop(steps)
-        steps = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            return steps.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth")
+        still = scratch.store(moved.filter("NOT final"))
+        reached = scratch.store(settled.union(moved.filter("final")))
+        scratch.drop(settled, moving, moved)
+        settled, moving = reached, still
+    return settled.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth")
 
 
 def link(messages: DataFrame) -> DataFrame:
