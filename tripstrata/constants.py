@@ -70,6 +70,9 @@ PREVIEW_ROWS = 20
 SQL_MAX_ROWS = 500
 SQL_TIMEOUT_SECONDS = 10
 
+SCHEMA_MISSING = "Missing expected columns: {columns}"
+SCHEMA_MISMATCH = "Dtype mismatch: {fields}"
+
 SQL_EMPTY = "SQL query cannot be empty."
 SQL_NOT_SELECT = "Only SELECT queries are allowed."
 SQL_MANY_STATEMENTS = "Only a single SQL statement is allowed."

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import constants as C
 from .. import schemas
 from . import files
 from .lake import bronze_path, period_files
@@ -24,13 +25,13 @@ def schema_gate(found: T.StructType, contract: T.StructType = schemas.BRONZE) ->
     types = {field.name: field.dataType for field in found.fields}
     missing = sorted(field.name for field in contract.fields if field.name not in types)
     if missing:
-        return f"Missing expected columns: {missing}"
+        return C.SCHEMA_MISSING.format(columns=missing)
     wrong = [
         f"{field.name}: expected {field.dataType.simpleString()}, got {types[field.name].simpleString()}"
         for field in contract.fields
         if types[field.name] != field.dataType
     ]
-    return "Dtype mismatch: " + "; ".join(wrong) if wrong else None
+    return C.SCHEMA_MISMATCH.format(fields="; ".join(wrong)) if wrong else None
 
 
 def _read_schema(spark: SparkSession, path: str) -> T.StructType | None:
