@@ -7,7 +7,7 @@ Scoring therefore needs no table of distinct features: it hashes, looks weights
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,9 @@ BUCKETS = 1 << BITS
 WORD_GRAMS = (1, 2)
 CHAR_GRAMS = (3, 5)
 
+#: Matrix entries in one step of a product.
+_ENTRIES = 1 << 20
+
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -104,24 +107,47 @@ def sparse_of(kinds: tuple[list[Grams], list[Grams]], rows: int) -> list[tuple[n
 
 
 class Sample:
-    """Labelled rows as a sparse matrix on the driver; their number is bounded by the caller."""
+    """Labelled rows as a sparse matrix on the driver; their number is bounded by the caller.
+
+    Products go over a million entries at a time, so they need little memory beside the matrix.
+    """
 
-    def __init__(self, indices: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, weights: np.ndarray):
-        self.indices = np.concatenate([*indices, np.zeros(0, np.int32)]).astype(np.int32)
-        self.values = np.concatenate([*values, np.zeros(0, np.float32)]).astype(np.float32)
-        self.first = np.concatenate([[0], np.cumsum([len(i) for i in indices])]).astype(np.int64)
-        self.row = np.repeat(np.arange(len(indices), dtype=np.int32), np.diff(self.first))
+    def __init__(self, indices: list, values: list, labels: np.ndarray, weights: np.ndarray):
+        """Takes the lists apart, so that entries are not held twice."""
+        sizes = [len(i) for i in indices]
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.indices = np.empty(self.first[-1], np.int32)
+        self.values = np.empty(self.first[-1], np.float32)
+        for row in range(len(sizes) - 1, -1, -1):
+            own = slice(self.first[row], self.first[row + 1])
+            self.indices[own], self.values[own] = indices.pop(), values.pop()
         self.labels = labels
         self.weights = weights
 
     def __len__(self) -> int:
         return len(self.labels)
 
+    def _parts(self) -> Iterator[tuple[int, int]]:
+        lo = 0
+        while lo < len(self):
+            hi = int(np.searchsorted(self.first, self.first[lo] + _ENTRIES, side="right")) - 1
+            yield lo, (hi := max(hi, lo + 1))
+            lo = hi
+
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return spans.per_row(self.values * weights[self.indices], self.first)
+        out = np.zeros(len(self))
+        for lo, hi in self._parts():
+            own = slice(self.first[lo], self.first[hi])
+            out[lo:hi] = spans.per_row(self.values[own] * weights[self.indices[own]], self.first[lo : hi + 1] - own.start)
+        return out
 
     def transposed(self, by_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.indices, self.values * by_row[self.row], minlength=2 * BUCKETS)
+        out = np.zeros(2 * BUCKETS)
+        for lo, hi in self._parts():
+            own = slice(self.first[lo], self.first[hi])
+            spread = np.repeat(by_row[lo:hi], np.diff(self.first[lo : hi + 1]))
+            out += np.bincount(self.indices[own], self.values[own] * spread, minlength=len(out))
+        return out
 
 
 def bounded_labels(labels: DataFrame, grade: str, grades: tuple[int, ...], limit: int) -> tuple[DataFrame, dict[int, int]]:
@@ -173,19 +199,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, grades: tupl
     schema = "doc_id long, grade int, text_hash long, indices binary, features binary"
     by_id: dict[int, Row] = {}
     for row in in_arrow(joined.select(F.col("doc_id").cast("long"), "grade", "text"), run, schema).collect():
-        held = by_id.setdefault(row["doc_id"], row)
-        if row["text_hash"] < held["text_hash"]:
+        if row["text_hash"] <= by_id.get(row["doc_id"], row)["text_hash"]:
             by_id[row["doc_id"]] = row
-    kept = [by_id[i] for i in sorted(by_id)]
+    kept = [by_id.pop(i) for i in sorted(by_id)]
     grades_ = np.array([row["grade"] for row in kept], dtype=np.int64)
     drawn = {g: max(int((grades_ == g).sum()), 1) for g in grades}
     weights = np.array([sizes[g] / drawn[g] for g in grades_.tolist()])
-    return Sample(
-        [np.frombuffer(row["indices"], "<i4") for row in kept],
-        [np.frombuffer(row["features"], "<f4") for row in kept],
-        grades_,
-        weights / max(weights.sum(), 1e-12),
-    )
+    indices = [np.frombuffer(row["indices"], "<i4") for row in kept]
+    values = [np.frombuffer(row["features"], "<f4") for row in kept]
+    kept.clear()
+    return Sample(indices, values, grades_, weights / max(weights.sum(), 1e-12))
 
 
 def minimise(
