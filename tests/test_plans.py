@@ -17,9 +17,9 @@ def test_day_filter_reaches_the_scan(spark, lake_root):
     assert f"LessThan({C.PICKUP},1996-01-03T00:00)" in text
 
 
-def test_silver_reads_accepted_partitions_only(spark, lake_root):
+def test_silver_lists_the_accepted_folder_only(spark, lake_root):
     text = plan(lake.load_silver(spark, lake_root))
-    assert "PartitionFilters: [isnotnull(outcome" in text
+    assert f"[file:{lake.silver_path(lake_root)}/outcome={C.ACCEPTED}]" in text.replace("file://", "file:")
 
 
 @pytest.mark.parametrize("name", list(gold.BUILDERS))
