@@ -48,7 +48,7 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.find_repeated(table(spark, sf_dir, "documents"))
+    return fuzzy_lines.find_repeated(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
