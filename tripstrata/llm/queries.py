@@ -79,9 +79,9 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_forest.scan(table(spark, sf_dir, "documents"))
+    found = secret_forest.scan(table(spark, sf_dir, "documents"), whole=True)
     digest = F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256")
-    return found.select("doc_id", "word_no", digest, "score", "is_secret")
+    return found.select("doc_id", "word_no", "run_no", digest, "score", "is_secret")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,9 @@ TREES, DEPTH, SEED = 20, 6, 42
 THRESHOLD = 0.5
 PATH_BUCKETS = 16
 ALPHABET = "[A-Za-z0-9_+/=.-]"
+_RUN = f"{ALPHABET}{{{MIN_LENGTH},}}"
+#: A name before a value that is long enough itself.
+_NAMED = rf"^([A-Za-z_][A-Za-z0-9_./-]{{0,39}}=)([^=]{{{MIN_LENGTH},}}={{0,2}})$"
 KEYWORDS = ("token", "secret", "password", "passwd", "apikey", "api_key", "access_key", "key", "auth", "credential")
 
 FEATURES = [
@@ -68,6 +71,49 @@ def findings(docs: DataFrame) -> DataFrame:
     return rows.withColumn("candidate", found).filter("candidate <> ''")
 
 
+def all_findings(docs: DataFrame) -> DataFrame:
+    """As ``findings``, with every run of a word as a row of its own, numbered by ``run_no`` from 0.
+
+    ``word`` is the run with what stands between it and the run before it. A name that is assigned inside
+    the word, ``name=`` in front of the value included, stands for the words before; the candidate is the
+    value alone.
+    """
+    words = docs.select("doc_id", F.col("source").alias("path"), F.split("text", r"[\x20\x09-\x0D]+").alias("words"))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.length(F.get("words", i)) >= MIN_LENGTH)
+    rows = words.select("doc_id", "path", "words", F.explode(places).alias("word_no"))
+
+    def at(offset: int) -> Column:
+        place = F.col("word_no") + offset
+        return F.coalesce(F.when(place >= 0, F.get("words", F.greatest(place, F.lit(0)))), F.lit(""))
+
+    rows = rows.select(
+        "doc_id", "path", "word_no", at(0).alias("word"), at(-1).alias("before"), at(-2).alias("before2"), at(1).alias("after")
+    )
+    runs = F.regexp_extract_all("word", F.lit(_RUN), F.lit(0))
+    rows = rows.withColumn("gaps", F.split("word", _RUN)).withColumn("runs", runs)
+    rows = rows.select("*", F.posexplode("runs").alias("run_no", "run")).withColumn("gap", F.get("gaps", F.col("run_no")))
+    name = F.regexp_extract("run", _NAMED, 1)
+    rows = rows.withColumn("lead", F.concat("gap", name)).withColumn(
+        "candidate", F.when(name != "", F.regexp_extract("run", _NAMED, 2)).otherwise(F.col("run"))
+    )
+    own = F.col("lead").rlike(r"[A-Za-z_][\"'`]?[=:]+[\"'`]?$")
+    # Within JSON, "name":"value" with a long name has the name as the run before.
+    earlier = F.when(F.col("run_no") > 0, F.get("runs", F.greatest(F.col("run_no") - 1, F.lit(0))))
+    assigned = earlier.isNotNull() & F.col("lead").rlike(r"^[\"'`]?[=:]+[\"'`]?$")
+    return rows.select(
+        "doc_id",
+        "path",
+        "word_no",
+        "run_no",
+        "candidate",
+        F.concat(F.when(assigned, earlier).otherwise(F.lit("")), "lead", "candidate").alias("word"),
+        F.when(own | assigned, F.lit("")).otherwise(F.col("before")).alias("before"),
+        F.when(own | assigned, F.lit("")).otherwise(F.col("before2")).alias("before2"),
+        "after",
+        F.when(assigned, F.concat(earlier, "lead")).otherwise(F.col("lead")).alias("lead"),
+    )
+
+
 def dictionary(docs: DataFrame, least: int = MIN_WORD_COUNT) -> DataFrame:
     """``(run)``: lower-case words of three letters and more that the corpus holds at least ``least`` times."""
     words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("run")).filter(F.length("run") >= 3)
@@ -141,17 +187,20 @@ def train(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> RandomFores
     return forest.fit(assembled)
 
 
-def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(
+    docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, whole: bool = False
+) -> DataFrame:
     """``(doc_id, word_no, candidate, score, is_secret)``, one row for each candidate of ``docs (doc_id,
     text, source, ...)``; ``word_no`` counts words from 0.
 
     ``labels (candidate, label)`` are reviewed findings; without them ``rule_labels`` judges. A null
     text has no candidates, a null source is an empty path. Repeated rows are scanned one by one.
     With labels of one kind only every candidate gets that label's score, with none the score 1. An
-    empty table gives no rows.
+    empty table gives no rows. With ``whole`` every run of a word is a candidate, with ``run_no`` behind
+    ``word_no``.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    rows = scratch.store(findings(docs).withColumn("finding", F.monotonically_increasing_id()))
+    rows = scratch.store((all_findings if whole else findings)(docs).withColumn("finding", F.monotonically_increasing_id()))
     known = scratch.store(dictionary(docs))
     full = scratch.store(described(rows, known))
     if labels is None:
@@ -165,4 +214,5 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = TH
     else:
         assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(full)
         scored = model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "word_no", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
+    places = ["word_no", "run_no"] if whole else ["word_no"]
+    return scored.select("doc_id", *places, "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
