@@ -29,6 +29,19 @@ ALPHABET = "[A-Za-z0-9_+/=.-]"
 _RUN = f"{ALPHABET}{{{MIN_LENGTH},}}"
 #: A name before a value that is long enough itself.
 _NAMED = rf"^([A-Za-z_][A-Za-z0-9_./-]{{0,39}}=)([^=]{{{MIN_LENGTH},}}={{0,2}})$"
+#: Formats that say what they are.
+KNOWN = "^(" + "|".join(
+    (
+        "(AKIA|ASIA)[0-9A-Z]{16}",
+        "gh[pousr]_[A-Za-z0-9]{36,}",
+        "github_pat_[A-Za-z0-9_]{22,}",
+        "glpat-[A-Za-z0-9_-]{20,}",
+        "xox[abprs]-[A-Za-z0-9-]{10,}",
+        "[sr]k_(live|test)_[A-Za-z0-9]{16,}",
+        "AIza[A-Za-z0-9_-]{35}",
+        r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
+    )
+) + ")$"
 KEYWORDS = ("token", "secret", "password", "passwd", "apikey", "api_key", "access_key", "key", "auth", "credential")
 
 FEATURES = [
@@ -173,6 +186,21 @@ def rule_labels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", (random_like & names.rlike(r"(token|secret|key|password)\W*[=:]$")).cast("double"))
 
 
+def form_labels(rows: DataFrame) -> DataFrame:
+    """Labels for ``all_findings`` where no reviewed ones exist. True are known formats, and long hexadecimal
+    or mixed-class values assigned to a name on the key list. Other values under such a name, and
+    mixed-class ones under none, are uncertain and stay without a label; the rest is false."""
+    names = F.lower(F.concat_ws(" ", "before2", "before", "lead"))
+    # Names like "access_key" or "x-auth-token" end in a word of the list.
+    keyed = names.rlike("(" + "|".join(KEYWORDS) + r")[\"'`]?\s*[=:]+\s*[\"'`(]*\s*$")
+    candidate = F.col("candidate")
+    mixed = candidate.rlike("[a-z]") & candidate.rlike("[A-Z]") & candidate.rlike("[0-9]") & (F.length("candidate") >= 20)
+    mixed = mixed & candidate.rlike("^[A-Za-z0-9_+/-]+={0,2}$")
+    true = candidate.rlike(KNOWN) | (keyed & (mixed | candidate.rlike("^[0-9A-Fa-f]{32,}$")))
+    label = F.when(true, 1.0).when(keyed | mixed, F.lit(None).cast("double")).otherwise(0.0)
+    return rows.withColumn("label", label)
+
+
 def train(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> RandomForestClassificationModel | float:
     """A forest fitted on at most ``per_label`` findings of each label, those with the smallest hashes.
     With one label only, that label is every finding's score; with none, 1: nothing is known to be false."""
@@ -197,14 +225,14 @@ def scan(
     text has no candidates, a null source is an empty path. Repeated rows are scanned one by one.
     With labels of one kind only every candidate gets that label's score, with none the score 1. An
     empty table gives no rows. With ``whole`` every run of a word is a candidate, with ``run_no`` behind
-    ``word_no``.
+    ``word_no``; without labels ``form_labels`` judges, and what it knows to be true has the score 1.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = scratch.store((all_findings if whole else findings)(docs).withColumn("finding", F.monotonically_increasing_id()))
     known = scratch.store(dictionary(docs))
     full = scratch.store(described(rows, known))
     if labels is None:
-        labelled = rule_labels(full)
+        labelled = (form_labels if whole else rule_labels)(full)
     else:
         agreed = labels.groupBy("candidate").agg(F.min("label").alias("label"), F.max("label").alias("most"))
         labelled = full.join(agreed.filter("label = most").drop("most"), "candidate")
@@ -214,5 +242,7 @@ def scan(
     else:
         assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(full)
         scored = model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
+    if whole and labels is None:
+        scored = form_labels(scored).withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(F.col("score")))
     places = ["word_no", "run_no"] if whole else ["word_no"]
     return scored.select("doc_id", *places, "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
