@@ -75,8 +75,57 @@ OP2 = r"""
     FROM full_message f JOIN climb c ON c.conv_id = f.conv_id AND c.turn = f.turn AND c.up IS NULL
 """
 
+OP13 = rf"""
+    WITH doc AS (
+        SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ),
+    smallest AS (SELECT t, min(doc_id) AS first_id FROM doc GROUP BY t),
+    label AS (
+        SELECT doc_id, coalesce(max(CAST(quality = 1 AS INTEGER)), 0) AS good,
+            coalesce(max(CAST(toxic = 1 AS INTEGER)), 0) AS toxic
+        FROM labels GROUP BY doc_id
+    ),
+    failed AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+            CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+            + 4 * CAST(100 * (length(t) - length(translate(t, '{UPPER}', ''))) > 3 * length(t) AS INTEGER)
+            + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+            + 16 * coalesce(CAST(doc_id > first_id AS INTEGER), 0) AS mask
+        FROM doc JOIN smallest USING (t) LEFT JOIN label USING (doc_id)
+    ),
+    counted AS (SELECT part, mask, good, toxic, count(*) AS n FROM failed GROUP BY ALL),
+    f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(name, bit)),
+    ordered AS (
+        SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+        FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+            AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+    ),
+    steps AS (
+        SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0) AS before
+        FROM ordered, unnest(range(1, 6)) AS r(step)
+    ),
+    summed AS (
+        SELECT part, filter_order, step, bit,
+            coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit = 0), 0) AS kept,
+            coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed,
+            coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant,
+            coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+            coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0 AND good = 1), 0) AS good_lost,
+            coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0 AND toxic = 1), 0) AS toxic_lost
+        FROM counted, (SELECT filter_order, step, bit, CAST(before AS INTEGER) AS before FROM steps) GROUP BY ALL
+    )
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+        CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+    FROM summed
+"""
+
 ORACLE: dict[str, str] = {
     "op2_chat_formatting": OP2,
     "op10_warc": OP10,
     "op6_benchmark_decontamination": OP6,
+    "op13_filter_interaction_audit": OP13,
 }

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from tripstrata.llm import (
     byte_bpe,
+    filter_audit,
     fuzzy_lines,
     hilbert_shards,
+    language_id,
     ordinal_quality,
     phrase_index,
     quality_rules,
     quote_links,
     secret_forest,
     simhash_gph,
+    token_alignment,
     warc,
 )
 from tripstrata.llm.tables import ship, table
@@ -97,6 +100,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; see ``language_id.identify`` for nulls and empty tables."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document; see ``token_alignment.align_documents``."""
+    paths = public_tokenizers.path(VOCABULARY_A), public_tokenizers.path(VOCABULARY_B)
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), *paths)[0]
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all their orders over every document; see ``filter_audit.audit``."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -118,5 +140,8 @@ QUERIES: dict[str, Query] = {
         op8_simhash_near_dedup,
         op9_quality_classifier,
         op10_warc,
+        op11_language_id,
+        op12_cross_tokenizer_alignment,
+        op13_filter_interaction_audit,
     )
 }
