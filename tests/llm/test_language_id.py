@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 
 from tripstrata.llm import language_id, queries
 from tripstrata.llm.language_id import UNDETERMINED, identify, subwords
@@ -85,8 +86,9 @@ def test_repeated_texts_teach_once(spark):
     assert [language for language, _ in drawn] == ["xx"]
 
 
-def test_subwords_against_plain_slices():
-    texts = ["", "Ab c", "12", "déjà-vu", "İx"]
+@pytest.mark.parametrize("stretch", [1 << 18, 3, 7])
+def test_subwords_against_plain_slices(monkeypatch, stretch):
+    texts = ["", "Ab c", "12", "déjà-vu", "İx", "no end of words here"]
     plain = []
     for text in texts:
         words, word = [], ""
@@ -98,11 +100,11 @@ def test_subwords_against_plain_slices():
                 word = ""
         marked = [f"_{w}_" for w in words]
         plain.append([m[i : i + n] for m in marked for n in language_id.GRAMS for i in range(len(m) - n + 1)])
-    grams = subwords(texts)
-    assert np.diff(grams.first).tolist() == [len(p) for p in plain]
+    whole = subwords(["zz " + t for t in texts])
+    monkeypatch.setattr(language_id, "STRETCH", stretch)
+    found = subwords(texts)
+    assert [len(f) for f in found] == [len(p) for p in plain]
     # Equal n-grams share a bucket wherever they stand.
-    again = subwords(["zz " + t for t in texts])
-    tail = subwords(["zz"])
-    for k, text in enumerate(texts):
-        own = sorted(grams.buckets[grams.first[k] : grams.first[k + 1]].tolist() + tail.buckets.tolist())
-        assert own == sorted(again.buckets[again.first[k] : again.first[k + 1]].tolist())
+    (tail,) = subwords(["zz"])
+    for own, again in zip(found, whole):
+        assert sorted([*own.tolist(), *tail.tolist()]) == sorted(again.tolist())

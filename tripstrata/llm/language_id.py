@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +45,8 @@ _MIX = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 #: Texts are joined by this before code points are classed; it is no letter.
 _GAP = "\n"
 _POINTS = 0x110000
+#: Places of the joined texts that are hashed together.
+STRETCH = 1 << 18
 
 
 @functools.cache
@@ -52,46 +55,47 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(_POINTS)), dtype=bool, count=_POINTS)
 
 
-@dataclass
-class Grams:
-    """Buckets of all n-grams of some texts, and where each text's begin and the last ends."""
-
-    buckets: np.ndarray
-    first: np.ndarray
+def windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the n-grams of the texts' words, and the text of each, a stretch of ``STRETCH`` places
+    at a time, so memory follows the stretch however long the texts.
 
-
-def subwords(texts: list[str]) -> Grams:
-    """The n-grams of the texts' words: maximal runs of letters in lower case with a mark at both ends.
-    What is no letter only divides words."""
+    Words are maximal runs of letters in lower case, with a mark at both ends; what is no letter only
+    divides words.
+    """
     lowered = [text.lower() for text in texts]
     joined = _GAP + _GAP.join(lowered) + _GAP
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    starts = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])]).astype(np.int64)
-    letter = _letters()[points]
-    marked = np.where(letter, points, 0).astype(np.uint64)
-    # A window lies in one word if only its first and last place may be marks, and at least one place is a letter.
-    buckets, places = [], []
-    inner = np.concatenate([[0], np.cumsum(~letter)])
-    for size in GRAMS:
-        span = len(marked) - size + 1
-        if span <= 0:
-            continue
-        mixed = np.full(span, _U(size))
-        for place in range(size):
-            mixed = (mixed ^ marked[place : place + span]) * _MIX[0]
-            mixed ^= mixed >> _U(29)
-        at = np.arange(span)
-        inside = inner[at + size - 1] == inner[at + 1] if size > 2 else letter[:span] | letter[1 : span + 1]
-        picked = np.flatnonzero(inside)
-        buckets.append(((mixed[picked] * _MIX[1]) >> _U(48)).astype(np.int64))
-        places.append(picked)
-    if not buckets:
-        return Grams(np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
-    found, where = np.concatenate(buckets), np.concatenate(places)
-    # A window may begin at the mark before a text's first word, one place ahead of the text.
-    row = np.searchsorted(starts - 1, where, side="right") - 1
+    # The mark before a text's first word stands in front of the text and is counted as its own.
+    bounds = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+    for lo in range(0, len(points), STRETCH):
+        piece = points[lo : lo + STRETCH + max(GRAMS) - 1]
+        letter = _letters()[piece]
+        marked = np.where(letter, piece, 0).astype(np.uint64)
+        row = np.searchsorted(bounds, np.arange(lo, min(lo + STRETCH, len(points))), side="right").astype(np.int32) - 1
+        breaks = np.concatenate([[0], np.cumsum(~letter)]).astype(np.int32)
+        for size in GRAMS:
+            span = min(len(piece) - size + 1, STRETCH)
+            if span <= 0:
+                continue
+            # Only the first and last place may be marks, and not both of two.
+            if size == 2:
+                inside = letter[:span] | letter[1 : span + 1]
+            else:
+                inside = breaks[size - 1 : size - 1 + span] == breaks[1 : span + 1]
+            picked = np.flatnonzero(inside)
+            mixed = np.full(len(picked), _U(size))
+            for place in range(size):
+                mixed = (mixed ^ marked[picked + place]) * _MIX[0]
+                mixed ^= mixed >> _U(29)
+            yield ((mixed * _MIX[1]) >> _U(48)).astype(np.uint16), row[picked]
+
+
+def subwords(texts: list[str]) -> list[np.ndarray]:
+    """The buckets of each text's n-grams, in no order that matters."""
+    found = list(windows(texts))
+    buckets, row = np.concatenate([b for b, _ in found]), np.concatenate([r for _, r in found])
     order = np.argsort(row, kind="stable")
-    return Grams(found[order], np.searchsorted(row[order], np.arange(len(texts) + 1)))
+    return np.split(buckets[order], np.searchsorted(row[order], np.arange(1, len(texts))))
 
 
 def _spread(n: int, limit: int) -> np.ndarray:
@@ -108,17 +112,21 @@ def texts_of(block: spans.Block) -> list[str]:
 @dataclass
 class Model:
     languages: list[str]
-    #: Scores of each bucket: embeddings times softmax weights; then the bias.
+    #: For each language the scores of all buckets: embeddings times softmax weights. Then the biases.
     scores: np.ndarray
     bias: np.ndarray
     temperature: float
     #: Answers below this score are unreliable.
     accept: float
 
-    def logits(self, grams: Grams) -> np.ndarray:
-        number = np.maximum(np.diff(grams.first), 1)
-        columns = [spans.per_row(self.scores[:, k][grams.buckets], grams.first) / number for k in range(len(self.languages))]
-        return (np.stack(columns, axis=1) + self.bias) / self.temperature
+    def logits(self, parts: Iterator[tuple[np.ndarray, np.ndarray]], rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of ``rows`` texts from buckets and their texts, and the number of each text's n-grams."""
+        sums, number = np.zeros((rows, len(self.languages))), np.zeros(rows, dtype=np.int64)
+        for buckets, row in parts:
+            number += np.bincount(row, minlength=rows)
+            for k in range(len(self.languages)):
+                sums[:, k] += np.bincount(row, self.scores[k][buckets], minlength=rows)
+        return (sums / np.maximum(number, 1)[:, None] + self.bias) / self.temperature, number
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -130,7 +138,7 @@ def fit(documents: list[tuple[str, np.ndarray]]) -> Model:
     """Model of ``(language, buckets)`` in a fixed order. Without documents it knows no language."""
     languages = sorted({language for language, _ in documents})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0), 1.0, 1.0)
     number = {language: k for k, language in enumerate(languages)}
     target = np.array([number[language] for language, _ in documents])
     held = np.arange(len(documents)) % CALIBRATION == CALIBRATION - 1
@@ -169,7 +177,7 @@ def fit(documents: list[tuple[str, np.ndarray]]) -> Model:
             embeddings[ordered[cut]] -= rate * 50 * np.add.reduceat(slopes, cut, axis=0)
             weights -= (rate * (mean.T @ error) / len(rows) * 4).astype(np.float32)
             bias -= (rate * error.mean(axis=0) * 0.1).astype(np.float32)
-    model = Model(languages, (embeddings @ weights).astype(np.float32), bias.astype(float), 1.0, 0.0)
+    model = Model(languages, np.ascontiguousarray((embeddings @ weights).T, np.float32), bias.astype(float), 1.0, 0.0)
     return calibrated(model, [documents[r] for r in np.flatnonzero(held)], target[held])
 
 
@@ -177,8 +185,8 @@ def calibrated(model: Model, documents: list[tuple[str, np.ndarray]], target: np
     """Temperature by likelihood and the acceptance score by error rate on documents not learned from."""
     if not documents:
         return model
-    first = np.concatenate([[0], np.cumsum([len(b) for _, b in documents])]).astype(np.int64)
-    logits = model.logits(Grams(np.concatenate([b for _, b in documents]), first))
+    row = np.repeat(np.arange(len(documents)), [len(b) for _, b in documents])
+    logits, _ = model.logits(iter([(np.concatenate([b for _, b in documents]), row)]), len(documents))
 
     def loss(temperature: float) -> float:
         p = softmax(logits / temperature)[np.arange(len(target)), target]
@@ -228,8 +236,7 @@ def sample(docs: DataFrame, scratch: Scratch, key: str, text: str, language: str
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for block in spans.blocks(batch.column("text")):
-                grams = subwords(texts_of(block))
-                own = [grams.buckets[lo:hi] for lo, hi in zip(grams.first, grams.first[1:])]
+                own = subwords(texts_of(block))
                 packed = [b[_spread(len(b), GRAMS_PER_DOCUMENT)].astype("<u2").tobytes() for b in own]
                 rows = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays(
@@ -265,12 +272,11 @@ def identify(
         known = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
             for block in spans.blocks(batch.column("text")):
-                grams = subwords(texts_of(block))
                 answers = np.full(block.rows, len(model.languages))
                 scores = np.zeros(block.rows)
                 if model.languages:
-                    p = softmax(model.logits(grams))
-                    some = np.diff(grams.first) > 0
+                    logits, number = model.logits(windows(texts_of(block)), block.rows)
+                    p, some = softmax(logits), number > 0
                     answers[some] = p.argmax(axis=1)[some]
                     scores[some] = p.max(axis=1)[some]
                 yield pa.RecordBatch.from_arrays(
