@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import warnings
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.times import micros_between
+from ..sources import files
 from .gold import max_pickup_date
 from .silver import trips_of_day
 
@@ -100,13 +103,68 @@ def to_events(trips: DataFrame) -> DataFrame:
     return trips.select(F.to_json(F.struct(*trips.columns), options).alias("value"))
 
 
-def replay_publish(trips: DataFrame, path: str | None = None, brokers: str | None = None) -> None:
-    """Append the events to a folder that stands for the topic, or send them to Kafka."""
+_STAGED, _MANIFESTS = "_staged", "_manifests"
+_MOVES_AT_A_TIME = 16
+
+
+def content_id(events: DataFrame) -> str:
+    """A name of the events that depends on their values and number only, not on order or partitions."""
+    low, high = F.xxhash64("value"), F.xxhash64("value", F.lit("publish"))
+    # Halves are summed apart, so that no sum overflows.
+    halves = [F.sum(F.shiftrightunsigned(h, 32)) for h in (low, high)] + [F.sum(h.bitwiseAND(0xFFFFFFFF)) for h in (low, high)]
+    digest = F.md5(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *[F.coalesce(h, F.lit(0)).cast("string") for h in halves]))
+    return events.agg(digest.alias("id")).first()["id"]
+
+
+def stage_publish(events: DataFrame, path: str, publish_id: str) -> None:
+    """Write the events beside the topic and, when they are complete, the list of their files."""
+    spark = events.sparkSession
+    staged = f"{path}/{_STAGED}/{publish_id}"
+    events.write.mode("overwrite").text(staged)
+    names = [name for name in files.children(spark, staged) if not name.startswith(("_", "."))]
+    files.write_text(spark, f"{path}/{_MANIFESTS}/{publish_id}", "\n".join(names))
+
+
+def finish_publish(spark: SparkSession, path: str, publish_id: str) -> None:
+    """Move the listed files into the topic; those that an earlier attempt moved are there already."""
+    names = [name for name in files.read_text(spark, f"{path}/{_MANIFESTS}/{publish_id}").split("\n") if name]
+    present = set(files.children(spark, path))
+
+    def move(name: str) -> None:
+        target = f"{publish_id}-{name}"
+        if target not in present and not files.rename(spark, f"{path}/{_STAGED}/{publish_id}/{name}", f"{path}/{target}"):
+            raise OSError(f"cannot move {name} into {path}")
+
+    with ThreadPool(_MOVES_AT_A_TIME) as pool:
+        pool.map(move, names)
+    files.write_text(spark, f"{path}/{_MANIFESTS}/{publish_id}.done", "")
+    files.delete(spark, f"{path}/{_STAGED}/{publish_id}")
+
+
+def replay_publish(
+    trips: DataFrame, path: str | None = None, brokers: str | None = None, publish_id: str | None = None
+) -> str | None:
+    """Put the events into a folder that stands for the topic, once, or send them to Kafka.
+
+    A publish has an id, by default one made of the events themselves, and each id enters the topic
+    once however often it is published: files appear there only after all of them and their list are
+    stored, and an attempt that died is taken up at the list. Give an id of your own to replay the same
+    trips again. Kafka gives no such promise; consumers there see a repeated publish twice.
+    """
     events = to_events(trips)
     if brokers:
         events.write.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", C.TOPIC).save()
-    else:
-        events.write.mode("append").text(path)
+        return None
+    spark = trips.sparkSession
+    publish_id = publish_id or content_id(events)
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9-]*", publish_id):
+        raise ValueError("a publish id holds letters, digits and hyphens")
+    manifest = f"{path}/{_MANIFESTS}/{publish_id}"
+    if not files.exists(spark, f"{manifest}.done"):
+        if not files.exists(spark, manifest):
+            stage_publish(events, path, publish_id)
+        finish_publish(spark, path, publish_id)
+    return publish_id
 
 
 def live_projection(trips: DataFrame) -> DataFrame:

@@ -26,3 +26,30 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> bool:
     system, location = _at(spark, path)
     return system.delete(location, True)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Move one file; false when the source is gone or the target exists."""
+    system, location = _at(spark, source)
+    return system.rename(location, spark._jvm.org.apache.hadoop.fs.Path(target))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, complete or absent: written under another name and renamed."""
+    system, location = _at(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    out = system.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    system.delete(location, False)
+    if not system.rename(beside, location):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, location = _at(spark, path)
+    stream = system.open(location)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()

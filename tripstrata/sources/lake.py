@@ -11,6 +11,8 @@ Silver and quarantine share one folder, split by outcome: one pass over Bronze w
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -176,36 +178,126 @@ def write_gold(table: DataFrame, root: str, name: str) -> str:
     return path
 
 
-def _beside(name: str, suffix: str) -> str:
-    """A table name next to ``name``, quoted or not."""
-    return f"{name[:-1]}__{suffix}`" if name.endswith("`") else f"{name}__{suffix}"
+KEPT_VERSIONS = 2
+
+
+def _quoted(*parts: str) -> str:
+    return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
+
+
+def _name_parts(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Database and table of a name, quoted or not."""
+    parts = [quoted.replace("``", "`") or plain for quoted, plain in re.findall(r"`((?:[^`]|``)+)`|([^.`]+)", name)]
+    return (parts[-2] if len(parts) > 1 else spark.catalog.currentDatabase()), parts[-1].lower()
+
+
+def versions_path(spark: SparkSession, name: str) -> str:
+    database, table = _name_parts(spark, name)
+    return f"{spark.catalog.getDatabase(_quoted(database)).locationUri.rstrip('/')}/_versions/{table}"
+
+
+def table_versions(spark: SparkSession, name: str) -> list[str]:
+    """Stored versions of a published table, oldest first."""
+    return files.children(spark, versions_path(spark, name))
+
+
+def published_version(spark: SparkSession, name: str) -> str | None:
+    """The version that readers of the name see; None where there is none."""
+    full = _quoted(*_name_parts(spark, name))
+    if not spark.catalog.tableExists(full):
+        return None
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {full}").where("col_name = 'Location'").first()
+    version = described["data_type"].rstrip("/").rsplit("/", 1)[1] if described else None
+    return version if version in table_versions(spark, name) else None
+
+
+def write_version(df: DataFrame, name: str, grain: tuple[str, ...] | list[str] = ()) -> str:
+    """Store a complete version beside the published one, which stays; returns the version.
+
+    A key of ``grain`` that occurs twice fails the write itself: rows are grouped by their key on the
+    way, so the check costs no second pass, and a hot key is folded before the shuffle.
+    """
+    spark, keys = df.sparkSession, list(grain)
+    version = f"{time.time_ns() // 1_000_000:013d}-{uuid.uuid4().hex[:8]}"
+    path = f"{versions_path(spark, name)}/{version}"
+    message = f"{name} has more than one row for a key of {keys}"
+    if keys:
+        others = [F.col(_quoted(c)) for c in df.columns if c not in keys]
+        row = F.first(F.struct(F.lit(0).alias("_"), *others)).alias("_row")
+        grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), row)
+        single = F.when(F.col("_n") > 1, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
+        columns = [F.col(_quoted(c)) if c in keys else F.col(f"_row.{_quoted(c)}").alias(c) for c in df.columns]
+        df = grouped.where(single).select(*columns)
+    try:
+        df.write.parquet(path)
+    except Exception as problem:
+        files.delete(spark, path)
+        if keys and message in str(problem):
+            raise ValueError(message) from problem
+        raise
+    return version
+
+
+def point_to(spark: SparkSession, name: str, version: str) -> None:
+    """Let the name stand for a version: one change of the catalog, so readers see the old or the new.
+
+    Only where the columns change the table has to be made anew, and there is a moment without it.
+    """
+    full, path = _quoted(*_name_parts(spark, name)), f"{versions_path(spark, name)}/{version}"
+    if spark.catalog.tableExists(full):
+        if spark.table(full).schema == spark.read.parquet(path).schema:
+            spark.sql(f"ALTER TABLE {full} SET LOCATION '{path}'")
+            return
+        spark.sql(f"DROP TABLE {full}")
+    spark.sql(f"CREATE TABLE {full} USING parquet LOCATION '{path}'")
+
+
+def drop_old_versions(spark: SparkSession, name: str, keep: int = KEPT_VERSIONS) -> list[str]:
+    """Delete the versions that readers can no longer be in: all but the published one and the ``keep``
+    - 1 before it. What attempts that died left behind goes too."""
+    current, versions = published_version(spark, name), table_versions(spark, name)
+    if current is None:
+        return []
+    place = versions.index(current)
+    spared = set(versions[max(place - keep + 1, 0) : place + 1])
+    dropped = [version for version in versions if version not in spared]
+    for version in dropped:
+        files.delete(spark, f"{versions_path(spark, name)}/{version}")
+    return dropped
+
+
+def drop_published(spark: SparkSession, name: str) -> bool:
+    """Remove a published table with all its versions; false when there was none."""
+    full = _quoted(*_name_parts(spark, name))
+    there = spark.catalog.tableExists(full)
+    if there:
+        spark.sql(f"DROP TABLE {full}")
+    files.delete(spark, versions_path(spark, name))
+    return there
 
 
 def publish_table(
-    df: DataFrame, name: str, jdbc: dict[str, str] | None = None, grain: tuple[str, ...] | list[str] = ()
+    df: DataFrame,
+    name: str,
+    jdbc: dict[str, str] | None = None,
+    grain: tuple[str, ...] | list[str] = (),
+    keep: int = KEPT_VERSIONS,
 ) -> None:
     """Replace the contents of a catalog table, or of a JDBC table; NaN becomes NULL.
 
-    A catalog table is written beside the old one first and takes its name when it is complete and
-    no key of its ``grain`` occurs twice; until then the old one stays.
+    The catalog table points to one stored version. A new version is written and checked beside it, then
+    the table's location is changed in one step, then versions older than the ``keep`` newest are
+    deleted: readers always find a complete table, an attempt that fails or dies leaves the old one, and
+    a reader that has begun keeps its files for ``keep`` - 1 publishes. One writer for each name. A JDBC
+    table is truncated and filled by the connector, which is as atomic as the database makes it.
     """
     rows = nan_to_null(df)
     if jdbc:
         rows.write.format("jdbc").options(**jdbc, dbtable=name, truncate="true").mode("overwrite").save()
-    else:
-        spark, staging = df.sparkSession, _beside(name, "staging")
-        spark.sql(f"DROP TABLE IF EXISTS {staging}")
-        rows.write.saveAsTable(staging)
-        keys = list(grain)
-        if keys and not spark.table(staging).groupBy(*keys).count().where("count > 1").isEmpty():
-            spark.sql(f"DROP TABLE {staging}")
-            raise ValueError(f"{name} has more than one row for a key of {keys}")
-        old = _beside(name, "old")
-        spark.sql(f"DROP TABLE IF EXISTS {old}")
-        if spark.catalog.tableExists(name):
-            spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-        spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
-        spark.sql(f"DROP TABLE IF EXISTS {old}")
+        return
+    spark = df.sparkSession
+    point_to(spark, name, write_version(rows, name, grain))
+    drop_old_versions(spark, name, keep)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -298,7 +390,6 @@ def reset_layers(spark: SparkSession, root: str, database: str | None = None) ->
     done.append(("online", "features", keys))
     if database and spark.catalog.databaseExists(database):
         for name in (*C.GOLD_TABLES, C.FEATURE_TABLE):
-            if spark.catalog.tableExists(f"{database}.{name}"):
-                spark.sql(f"DROP TABLE `{database}`.`{name}`")
+            if drop_published(spark, _quoted(database, name)):
                 done.append(("table", name, 1))
     return spark.createDataFrame(done, "kind string, name string, removed bigint")
