@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from conformance.adhoc_sql import ADHOC
+from tripstrata import schemas
 
 _BRONZE = """
 WITH joined AS (
@@ -663,10 +664,101 @@ ORACLE |= {
         FROM (SELECT * REPLACE (TIMESTAMP '2024-01-05' + (tpep_pickup_datetime - date_trunc('day', tpep_pickup_datetime))
                                 AS tpep_pickup_datetime) FROM silver)"""
     ),
+    # A text is judged by its form; blanks in front of the form's words change nothing.
     "sql_guard": """
-        SELECT r_name, CAST(text_number AS INTEGER) AS text_number, reason
-        FROM region JOIN (VALUES (0, 'SQL query cannot be empty.'), (1, NULL), (2, NULL), (3, NULL),
-            (4, 'Only SELECT queries are allowed.'), (5, 'Only SELECT queries are allowed.'),
-            (6, 'Only a single SQL statement is allowed.'), (7, 'Only a single SQL statement is allowed.')
-        ) AS guarded(text_number, reason) ON text_number % 5 = r_regionkey""",
+        WITH texts AS (
+            SELECT event_id % 8 AS form, event_type, CAST(user_id AS VARCHAR) AS u FROM events
+        ), judged AS (
+            SELECT form, event_type, CASE form WHEN 0 THEN ' ' WHEN 7 THEN event_type WHEN 1 THEN event_type || u ELSE u END AS t,
+                   CASE form WHEN 0 THEN 'SQL query cannot be empty.'
+                             WHEN 4 THEN 'Only SELECT queries are allowed.'
+                             WHEN 5 THEN 'Only SELECT queries are allowed.'
+                             WHEN 6 THEN 'Only a single SQL statement is allowed.'
+                             WHEN 7 THEN 'Only a single SQL statement is allowed.' END AS reason
+            FROM texts
+        )
+        SELECT form, event_type, reason, COUNT(DISTINCT t) AS texts, COUNT(*) AS events FROM judged GROUP BY ALL""",
+    "read_only_enforced": """
+        SELECT event_type, COUNT(*) AS events, CAST(5 AS BIGINT) AS refused FROM events GROUP BY 1""",
+}
+
+# --- Streams, judged by their own logs --------------------------------------------------------------
+
+_HALF = "CASE WHEN tpep_pickup_datetime < TIMESTAMP '1998-01-01' THEN 'first' ELSE 'second' END"
+
+ORACLE |= {
+    "stream_source": _silver("SELECT * EXCLUDE (period) FROM silver"),
+    "replay_publish": _silver(
+        """SELECT "PULocationID", COUNT(*) AS trips, MIN(tpep_pickup_datetime) AS first_pickup,
+               MAX(total_amount) AS max_total FROM silver GROUP BY 1"""
+    ),
+    "offsets_and_stop": _silver(
+        f"""SELECT {_HALF} AS publish, COUNT(*) AS trips, COUNT(*) AS trips_in_sink, CAST(0 AS BIGINT) AS files_lost,
+               CAST(0 AS BIGINT) AS files_repeated FROM silver GROUP BY 1"""
+    ),
+    "tail_latest": _silver(
+        "SELECT * EXCLUDE (period) FROM silver WHERE tpep_pickup_datetime >= TIMESTAMP '1998-01-01'"
+    ),
+    # An event meets the latest time of all batches but its own and the one before, less an hour.
+    "late_data": """
+        WITH dealt AS (
+            SELECT ts, (event_id + CASE WHEN event_id % 11 = 0 THEN event_id % 7 * 100 ELSE 0 END) // 50 AS batch FROM events
+        ), tops AS (SELECT batch, MAX(date_trunc('millisecond', ts)) AS latest FROM dealt GROUP BY 1),
+        marks AS (
+            SELECT batch, MAX(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)
+                   - INTERVAL 1 HOUR AS watermark
+            FROM tops
+        ), judged AS (
+            SELECT d.*, watermark, date_trunc('hour', ts) AS window_start,
+                   COALESCE(date_trunc('hour', ts) + INTERVAL 1 HOUR <= watermark, false) AS late
+            FROM dealt d JOIN marks USING (batch)
+        )
+        SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, COUNT(*) FILTER (NOT late) AS accepted,
+               COUNT(*) FILTER (late) AS dropped, COUNT(DISTINCT CASE WHEN late THEN batch END) AS losing_batches,
+               MAX((epoch_us(watermark) - epoch_us(ts)) // 1000000) FILTER (late) AS worst_lateness_s
+        FROM judged GROUP BY ALL""",
+}
+
+# --- Catalog, preview, reset and bundles ------------------------------------------------------------
+
+_GOLD_ORACLES = ("daily_revenue", "hourly_demand", "zone_stats", "congestion_metrics")
+_GOLD_COLUMNS = [
+    (name, place, field.name, field.dataType.simpleString())
+    for name in _GOLD_ORACLES
+    for place, field in enumerate(schemas.GOLD[name].fields, 1)
+]
+_OVERVIEW = {
+    "daily_revenue": ("daily_revenue", 6),
+    "hourly_demand": ("hourly_demand", 5),
+    "top_zones": ("top_zones", 6),
+    "congestion": ("congestion_metrics", 5),
+    "model_metrics": ("train_metrics", 4),
+    "etl_health": ("etl_health", 5),
+}
+
+ORACLE |= {
+    # The declared layout of the published tables.
+    "catalog": "SELECT * FROM (VALUES "
+    + ", ".join(f"('{t}', CAST({n} AS INTEGER), '{c}', '{kind}')" for t, n, c, kind in _GOLD_COLUMNS)
+    + ") AS c(table_name, position, column_name, data_type)",
+    "dashboard_overview": " UNION ALL ".join(
+        f"""SELECT '{dataset}' AS dataset, COUNT(*) AS "rows", CAST({columns} AS BIGINT) AS columns FROM ({ORACLE[name]})"""
+        for dataset, (name, columns) in _OVERVIEW.items()
+    ),
+    "table_preview": " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, COUNT(*) AS row_count, LEAST(COUNT(*), 20) AS sampled,
+            CAST(0 AS BIGINT) AS strange, false AS failed FROM ({ORACLE[name]})"""
+        for name in _GOLD_ORACLES
+    )
+    + """ UNION ALL SELECT 'no_such_table', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), true""",
+    "reset_layers": " UNION ALL ".join(
+        f"SELECT '{name}' AS name, CAST(1 AS BIGINT) AS removed, CAST(0 AS BIGINT) AS left_over"
+        for name in (*_GOLD_ORACLES, "bronze")
+    ),
+    "home_stats": f"""
+        SELECT 'silver_rows_processed' AS figure, CAST(rows_processed AS DOUBLE) AS value FROM ({ORACLE["latest_silver_rows"]})
+        UNION ALL SELECT 'months_ingested', CAST(months_ingested AS DOUBLE) FROM ({ORACLE["months_ingested"]})
+        UNION ALL SELECT 'fare_model_mae', CAST(mae AS DOUBLE) FROM ({ORACLE["latest_fare_mae"]})
+        UNION ALL SELECT 'revenue_trend ' || strftime(pickup_date, '%Y-%m-%d'), round(total_revenue, 6)
+        FROM ({ORACLE["revenue_last_14"]})""",
 }

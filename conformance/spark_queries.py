@@ -6,8 +6,12 @@ or struct are flattened, so that results compare by value.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +20,10 @@ from conformance.adhoc_sql import ADHOC
 from tripstrata import constants as C
 from tripstrata.functions.times import expand_months
 from tripstrata.operators import adhoc, dashboards, features, gold, model, profile, replay, runlog, service, silver
+from tripstrata.plans import pipeline
 from tripstrata.session import shared_dir, stored
 from tripstrata.sources import adapters, ingest, lake
-from tripstrata.streaming import ticks, topics, trips
+from tripstrata.streaming import query_log, ticks, topics, trips, watermarks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -271,10 +276,26 @@ def _gold_round_trip(name: str) -> Query:
 
 
 def _publish_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after two publishes, while a reader asks for it all the time: it must always be there, whole."""
     name = f"published_{uuid.uuid4().hex}"
-    table = gold.daily_revenue(adapters.silver(spark, sf_dir))
-    for _ in range(2):  # the second time there is a table to replace
-        lake.publish_table(table, name, grain=["pickup_date"])
+    table = stored(gold.daily_revenue(adapters.silver(spark, sf_dir)), "daily")
+    lake.publish_table(table, name, grain=["pickup_date"])
+    rows, done, seen = table.count(), threading.Event(), []
+
+    def read() -> None:
+        while not done.is_set():
+            seen.append(spark.table(name).count())
+
+    with ThreadPool(1) as pool:
+        reading = pool.apply_async(read)
+        try:
+            for _ in range(2):
+                lake.publish_table(table, name, grain=["pickup_date"], keep=3)
+        finally:
+            done.set()
+        reading.get()
+    if set(seen) - {rows}:
+        raise RuntimeError(f"a reader saw {set(seen)} rows of {rows}")
     return spark.table(name)
 
 
@@ -311,25 +332,199 @@ def _replay_day(trips_: DataFrame) -> DataFrame:
     return scheduled.select(C.PICKUP, C.DROPOFF, C.PICKUP_ZONE, "total_amount", "event_number", "send_at_s")
 
 
-GUARDED = (
-    "",
-    "select 1",
-    "SELECT 1;",
-    "with x as (select 1) select * from x",
-    "delete from orders",
-    "-- select 1",
-    "select 1; select 2",
-    "select ';' as x",
-)
+def _cut(first: bool):
+    before = F.col(C.PICKUP) < F.expr("timestamp_ntz'1998-01-01 00:00:00'")
+    return before if first else ~before
+
+
+def _streamed(spark: SparkSession, base: str, **options) -> DataFrame:
+    """All trips of a topic as a stream reads and stores them; another run goes on where the last one ended."""
+    query = (
+        trips.stream_trips(spark, f"{base}/topic", **options)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{base}/trips")
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/trips")
+
+
+def _offsets_and_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two publishes, a run after each. The query's own log has to give every file to one committed batch,
+    and the sink has to hold the trips of both."""
+    base, source = _folder(spark, "stopped"), adapters.silver(spark, sf_dir).drop("period")
+    for name, first in (("first", True), ("second", False)):
+        replay.replay_publish(source.where(_cut(first)), f"{base}/topic", publish_id=name)
+        sink = _streamed(spark, base)
+    path = query_log.path_key(F.col("_metadata.file_path")).alias("file")
+    read = spark.read.text(f"{base}/topic").groupBy(path).agg(F.count(F.lit(1)).alias("trips"))
+    audit = query_log.audit_files(spark, f"{base}/checkpoint", f"{base}/topic").join(read, "file", "left")
+    publish = F.regexp_extract("file", r"/(first|second)-[^/]*$", 1)
+    logged = audit.groupBy(publish.alias("publish")).agg(
+        F.coalesce(F.sum(F.when(F.col("committed_batches") == 1, F.col("trips"))), F.lit(0)).alias("trips"),
+        F.count_if((F.col("committed_batches") == 0) | ~F.col("in_topic")).alias("files_lost"),
+        F.count_if(F.col("batches") > 1).alias("files_repeated"),
+    )
+    stored_trips = sink.groupBy(F.when(_cut(True), "first").otherwise("second").alias("publish")).agg(
+        F.count(F.lit(1)).alias("trips_in_sink")
+    )
+    return logged.join(stored_trips, "publish", "left").select(
+        "publish", "trips", "trips_in_sink", "files_lost", "files_repeated"
+    )
+
+
+def _tail_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips of a stream that starts at the end of the topic: the backlog of the first publish is skipped,
+    and what arrives while the query is stopped is not."""
+    base, source = _folder(spark, "tail"), adapters.silver(spark, sf_dir).drop("period")
+    replay.replay_publish(source.where(_cut(True)), f"{base}/topic", publish_id="first")
+    backlog = spark.read.format("binaryFile").load(f"{base}/topic").agg(F.max("modificationTime")).first()[0]
+    since = (backlog or datetime(2000, 1, 1)).astimezone() + timedelta(milliseconds=1)
+    options = {"starting_offsets": "latest", "since": since, "checkpoint": f"{base}/checkpoint"}
+    _streamed(spark, base, **options)
+    replay.replay_publish(source.where(_cut(False)), f"{base}/topic", publish_id="second")
+    return _streamed(spark, base, **options)
+
+
+def _stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _folder(spark, "source")
+    replay.replay_publish(adapters.silver(spark, sf_dir).drop("period"), f"{base}/topic")
+    return _streamed(spark, base)
+
+
+def _replay_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips of a topic by zone, after an attempt that died before it moved a file and two more publishes."""
+    base, source = _folder(spark, "publish"), adapters.silver(spark, sf_dir).drop("period")
+    events = replay.to_events(source)
+    replay.stage_publish(events, f"{base}/topic", replay.content_id(events))
+    for _ in range(2):
+        replay.replay_publish(source, f"{base}/topic")
+    return _streamed(spark, base).groupBy(C.PICKUP_ZONE).agg(
+        F.count(F.lit(1)).alias("trips"), F.min(C.PICKUP).alias("first_pickup"), F.max("total_amount").alias("max_total")
+    )
+
+
+def _late_data(events: DataFrame) -> DataFrame:
+    """Events dealt into batches by id, some of them held back by hundreds of events."""
+    held = F.when(F.col("event_id") % 11 == 0, F.col("event_id") % 7 * 100).otherwise(0)
+    dealt = events.withColumn("batch", F.floor((F.col("event_id") + held) / 50))
+    return watermarks.late_data(dealt, event_time="ts")
 
 
 def _sql_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on a list of texts, for every region."""
-    rows = [(number, adhoc.sql_guard(text)) for number, text in enumerate(GUARDED)]
-    verdicts = spark.createDataFrame(rows, "text_number int, reason string")
-    regions = adapters.table(spark, sf_dir, "region")
-    share = F.pmod(F.col("text_number"), F.lit(5)) == F.col("r_regionkey")
-    return regions.join(verdicts, share).select("r_name", "text_number", "reason")
+    """Verdicts on texts made of every event: eight forms, filled with the event's type and user."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    forms = (
+        F.lit(" "),
+        F.concat(F.lit("select * from events where event_type = '"), kind, F.lit("' and user_id = "), user),
+        F.concat(F.lit("SELECT "), user, F.lit(";")),
+        F.concat(F.lit("with x as (select "), user, F.lit(") select * from x")),
+        F.concat(F.lit("delete from events where user_id = "), user),
+        F.concat(F.lit("-- select "), user),
+        F.concat(F.lit("select 1; select "), user),
+        F.concat(F.lit("select ';' as "), kind),
+    )
+    form = F.col("event_id") % len(forms)
+    text = F.coalesce(*[F.when(form == number, made) for number, made in enumerate(forms)])
+    texts = adapters.table(spark, sf_dir, "events").select(form.alias("form"), kind, text.alias("text"))
+    # Each distinct text is judged once.
+    distinct = texts.groupBy("form", "event_type", "text").agg(F.count(F.lit(1)).alias("n"))
+    judged = distinct.withColumn("reason", adhoc.guard_reason(F.col("text")))
+    return judged.groupBy("form", "event_type", "reason").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("events"))
+
+
+def _read_only_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ad-hoc SQL counts in a stored copy of the events after several attempts to change it."""
+    _with_views(spark, sf_dir)
+    name = f"guarded_{uuid.uuid4().hex}"
+    adapters.table(spark, sf_dir, "events").write.saveAsTable(name)
+    attempts = (
+        f"INSERT INTO {name} SELECT * FROM events",
+        f"WITH x AS (SELECT * FROM events) INSERT INTO {name} SELECT * FROM x",
+        f"SELECT * FROM {name}; DROP TABLE {name}",
+        f"select 1) ; TRUNCATE TABLE {name} --",
+        f"DROP TABLE {name}",
+    )
+    refused = sum(adhoc.run_sql(spark, text).error is not None for text in attempts)
+    asked = f"SELECT event_type, COUNT(*) AS events FROM {name} GROUP BY event_type"
+    return adhoc.read_only(spark, asked).withColumn("refused", F.lit(refused).cast("bigint"))
+
+
+def _published_gold(spark: SparkSession, sf_dir: str) -> str:
+    """A new database with the four Gold tables; its name."""
+    database = f"gold_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    cells = stored(gold.trip_rollup(adapters.silver(spark, sf_dir)), "rollup")
+    for name, build in gold.BUILDERS.items():
+        lake.publish_table(build(cells), f"{database}.{name}")
+    return database
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adhoc.catalog(spark, [_published_gold(spark, sf_dir), "no_such_database"]).drop("table_schema")
+
+
+def _table_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each published table and of its preview, whose rows have to be rows of the table."""
+    database, rows = _published_gold(spark, sf_dir), []
+    for name in (*C.GOLD_TABLES, "no_such_table"):
+        shown = adhoc.table_preview(spark, database, name)
+        if shown.sample is None:
+            rows.append((name, shown.row_count, None, None, True))
+            continue
+        table = spark.table(f"{database}.{name}")
+        sample = spark.createDataFrame(shown.sample.rows, table.schema)
+        strange = sample.exceptAll(table).count()
+        rows.append((name, shown.row_count, len(shown.sample.rows), strange, False))
+    return spark.createDataFrame(rows, "table_name string, row_count bigint, sampled bigint, strange bigint, failed boolean")
+
+
+def _reset_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reset finds in a lake and a database made for it; a second reset has to find nothing."""
+    base = _folder(spark, "reset")
+    adapters.bronze(spark, sf_dir).repartition("period").write.partitionBy("period").parquet(f"{base}/landing")
+    ingest.ingest_bronze(spark, f"{base}/landing", f"{base}/lake")
+    pipeline.run_silver(spark, f"{base}/lake")
+    database = _published_gold(spark, sf_dir)
+    first = lake.reset_layers(spark, f"{base}/lake", database)
+    again = lake.reset_layers(spark, f"{base}/lake", database).agg(F.sum("removed")).first()[0]
+    rows = first.where("kind = 'table'").select("name", "removed")
+    periods = first.where("kind = 'folder' AND name = 'bronze'").select("name", (F.col("removed") > 0).cast("bigint"))
+    return rows.union(periods).withColumn("left_over", F.lit(again).cast("bigint"))
+
+
+def _bundle(frames: dict[str, DataFrame]) -> DataFrame:
+    """Each dataset of a bundle with its rows and columns, in one table."""
+    counted = [
+        frame.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(frame.columns)).cast("bigint").alias("columns")).withColumn(
+            "dataset", F.lit(name)
+        )
+        for name, frame in frames.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def _dashboard_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = stored(gold.trip_rollup(adapters.silver(spark, sf_dir)), "rollup")
+    runs_ = adapters.run_log(adapters.table(spark, sf_dir, "events"))
+    tables = {name: build(cells) for name, build in gold.BUILDERS.items()}
+    return _bundle(dashboards.dashboard_overview(tables, runs_))
+
+
+def _home_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The home page's figures as rows of name and value."""
+    daily = gold.daily_revenue(adapters.silver(spark, sf_dir))
+    stats = dashboards.home_stats(daily, adapters.run_log(adapters.table(spark, sf_dir, "events")))
+    trend = stats.pop("revenue_trend").select(
+        F.concat(F.lit("revenue_trend "), F.col("pickup_date").cast("string")).alias("figure"),
+        F.round("total_revenue", 6).alias("value"),
+    )
+    single = [
+        frame.select(F.lit(name).alias("figure"), F.col(frame.columns[0]).cast("double").alias("value"))
+        for name, frame in stats.items()
+    ]
+    return reduce(DataFrame.unionByName, single, trend)
 
 
 def _with_views(spark: SparkSession, sf_dir: str) -> None:
@@ -381,6 +576,9 @@ QUERIES: dict[str, Query] = {
     "publish_table": _publish_table,
     "export_csv": _export_csv,
     "stream_sink": _stream_sink,
+    "stream_source": _stream_source,
+    "replay_publish": _replay_publish,
+    "reset_layers": _reset_layers,
     # Silver rules
     **_rules(),
     "monitor_nulls": _on_bronze(silver.monitor_nulls),
@@ -437,6 +635,9 @@ QUERIES: dict[str, Query] = {
     "live_tick_stream": _live_tick_stream,
     "skip_malformed": _on_silver(_skip_malformed),
     "topic_stats": _on_events(adapters.topic_offsets, topics.topic_stats),
+    "late_data": lambda spark, sf_dir: _late_data(adapters.table(spark, sf_dir, "events")),
+    "offsets_and_stop": _offsets_and_stop,
+    "tail_latest": _tail_latest,
     # Model
     "bounded_sample": _on_silver(lambda rows: model.bounded_sample(model.training_rows(rows), SAMPLE_ROWS)),
     "train_test_split": _on_silver(_split),
@@ -477,5 +678,11 @@ QUERIES: dict[str, Query] = {
     # Ad-hoc SQL
     "run_sql": _run_sql,
     "sql_guard": _sql_guard,
+    "read_only_enforced": _read_only_enforced,
+    "catalog": _catalog,
+    "table_preview": _table_preview,
+    # Bundles
+    "dashboard_overview": _dashboard_overview,
+    "home_stats": _home_stats,
     **{name: _adhoc(text) for name, text in ADHOC.items()},
 }

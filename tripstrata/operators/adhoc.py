@@ -10,11 +10,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import constants as C
 
 _LEADING = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?(?:\*/|\Z))*", re.DOTALL)
+#: The same in the column functions' dialect, where blanks have to be named and groups may give nothing back.
+_LEADING_TEXT = r"(?s)\A(?:[\s\x0B\x1C-\x1F\x85\p{Z}]+|--[^\n]*(?:\n|\z)|/\*.*?(?:\*/|\z))*+"
 # Nodes that an analysed query may consist of. Whatever is not listed (commands, writes, script
 # transforms, Python and streaming operators) is refused.
 _READING_NODES = frozenset(
@@ -58,6 +61,19 @@ def sql_guard(text: str) -> str | None:
     return None
 
 
+def guard_reason(text: Column) -> Column:
+    """``sql_guard`` over a column of texts, null where a text may be parsed; a null text is an empty one."""
+    text = F.coalesce(text, F.lit(""))
+    blank = r"^[\s\x0B\x1C-\x1F\x85\p{Z}]*$"
+    start = F.lower(F.regexp_replace(text, _LEADING_TEXT, ""))
+    statements = F.filter(F.split(text, ";"), lambda part: ~part.rlike(blank))
+    return (
+        F.when(text.rlike(blank), C.SQL_EMPTY)
+        .when(~(start.startswith("select") | start.startswith("with")), C.SQL_NOT_SELECT)
+        .when(F.size(statements) > 1, C.SQL_MANY_STATEMENTS)
+    )
+
+
 def _each(sequence) -> Iterator:
     return (sequence.apply(i) for i in range(sequence.size()))
 
