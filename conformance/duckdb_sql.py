@@ -682,6 +682,14 @@ ORACLE |= {
         SELECT event_type, COUNT(*) AS events, CAST(5 AS BIGINT) AS refused FROM events GROUP BY 1""",
 }
 
+ORACLE["schema_gate"] = _bronze(
+    """SELECT period, CASE WHEN m = 2 THEN 'OK' ELSE 'REJECTED' END AS status,
+           CASE m WHEN 0 THEN 'Missing expected columns: [''RatecodeID'', ''extra'']'
+                  WHEN 1 THEN 'Dtype mismatch: VendorID: expected int, got bigint; extra: expected double, got string'
+           END AS reason, CASE WHEN m = 2 THEN n END AS "rows"
+    FROM (SELECT period, CAST(substr(period, 6, 2) AS INTEGER) % 3 AS m, COUNT(*) AS n FROM bronze GROUP BY ALL)"""
+)
+
 # --- Streams, judged by their own logs --------------------------------------------------------------
 
 _HALF = "CASE WHEN tpep_pickup_datetime < TIMESTAMP '1998-01-01' THEN 'first' ELSE 'second' END"

@@ -314,6 +314,20 @@ def _ingest_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.load_bronze(spark, base)
 
 
+def _schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the periods of a landing folder: in some months a column is missing, in some it has another type."""
+    base, rows = _folder(spark, "gate"), adapters.bronze(spark, sf_dir)
+    month = F.substring("period", 6, 2).cast("int")
+    kinds = {
+        0: rows.drop("extra", "RatecodeID"),
+        1: rows.withColumn("VendorID", F.col("VendorID").cast("bigint")).withColumn("extra", F.col("extra").cast("string")),
+        2: rows.withColumn("one_more", F.lit("x")),
+    }
+    for kind, made in kinds.items():
+        made.where(month % 3 == kind).repartition("period").write.mode("append").partitionBy("period").parquet(f"{base}/landing")
+    return ingest.ingest_bronze(spark, f"{base}/landing", base).select("period", "status", "reason", "rows")
+
+
 def _stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips published to a topic folder, streamed, and the closed hours read from the sink."""
     base = _folder(spark, "stream")
@@ -568,6 +582,7 @@ QUERIES: dict[str, Query] = {
     "storage_stats": _storage_stats,
     # Round trips
     "ingest_bronze": _ingest_bronze,
+    "schema_gate": _schema_gate,
     "write_silver": _write_silver,
     "write_quarantine": _write_quarantine,
     "write_quality_report": _write_quality_report,

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import constants as C
 from .. import schemas
-from . import files
+from . import files, footers
 from .lake import bronze_path, period_files
 
 _FOOTERS_AT_A_TIME = 8
@@ -42,27 +42,42 @@ def _read_schema(spark: SparkSession, path: str) -> T.StructType | None:
         return None
 
 
-def _data_files(spark: SparkSession, path: str) -> list[str]:
-    """The file itself, or the data files of a period's folder."""
-    names = [name for name in files.children(spark, path) if not name.startswith(("_", "."))]
-    inside = [f"{path}/{name}" for name in names if not path.endswith(f"/{name}")]
-    return inside or [path]
+def _gate(
+    spark: SparkSession, available: dict[str, str]
+) -> tuple[dict[str, T.StructType], dict[str, str]]:
+    """Schema of each period's files, and the reason to refuse those of which some footer breaks the contract.
 
+    Footers are read by a job over all files, and periods are judged by their distinct schemas. Only
+    files that the job cannot vouch for are read by Spark's own reader, one by one.
+    """
+    schemas_of: dict[str, list[tuple[str, str | None]]] = {period: [] for period in available}
+    if available:
+        for row in footers.distinct_schemas(spark, list(available.values()), _period_of("path")).collect():
+            schemas_of.setdefault(row["period"], []).append((row["path"], row["schema"]))
+    doubtful = [path for found in schemas_of.values() for path, schema in found if schema is None]
+    # A folder without data files has no footer at all.
+    doubtful += [available[period] for period, found in schemas_of.items() if not found]
+    with ThreadPool(_FOOTERS_AT_A_TIME) as pool:
+        read = dict(zip(doubtful, pool.map(lambda path: _read_schema(spark, path), doubtful)))
+    first: dict[str, T.StructType] = {}
+    reasons: dict[str, str] = {}
+    for period, path in available.items():
+        for file, text in sorted(schemas_of[period]) or [(path, None)]:
+            schema = T.StructType.fromJson(json.loads(text)) if text else read[file]
+            reason = schema_gate(schema) if schema else f"unreadable file {file}"
+            if reason:
+                reasons[period] = reason
+                break
+            first.setdefault(period, schema)
+    return first, reasons
 
-def _gate(spark: SparkSession, path: str) -> tuple[T.StructType | None, str | None]:
-    """Schema of a period's files, and the reason to refuse them: every footer must hold the contract."""
-    first = None
-    for file in _data_files(spark, path):
-        found = _read_schema(spark, file)
-        reason = schema_gate(found) if found else f"unreadable file {file}"
-        if reason:
-            return None, reason
-        first = first or found
-    return first, None
+
+def _period_of(path: str):
+    return F.regexp_extract(path, r".*/(?:period=)?(\d{4}-\d{2})(?:\.parquet)?(?:/|$)", 1)
 
 
 def _period_of_file():
-    return F.regexp_extract(F.col("_metadata.file_path"), r".*/(?:period=)?(\d{4}-\d{2})(?:\.parquet)?(?:/|$)", 1)
+    return _period_of("_metadata.file_path")
 
 
 def _copy(spark: SparkSession, schema: T.StructType, group: dict[str, str], root: str) -> dict[str, tuple]:
@@ -96,26 +111,24 @@ def ingest_bronze(
 ) -> DataFrame:
     """Copy each period's files to Bronze if their schemas hold; a bad period stops no other.
 
-    Footers are read a few at a time, data in one job per distinct schema, which is one job unless
-    files carry extra columns. Should a job fail on damaged pages, its periods are tried in halves, so
+    Footers are read in one job, data in one job per distinct schema, which is one job unless files carry
+    extra columns. Should a job fail on damaged pages, its periods are tried in halves, so
     the damaged ones are found and the others land. Files are copied as they are, NaN included.
     """
     available = period_files(spark, landing)
     wanted = sorted(available) if periods is None else periods
     present = [period for period in wanted if period in available]
-    with ThreadPool(_FOOTERS_AT_A_TIME) as pool:
-        footers = dict(zip(present, pool.map(lambda period: _gate(spark, available[period]), present)))
+    found_schemas, reasons = _gate(spark, {period: available[period] for period in present})
     results: dict[str, tuple] = {}
     by_schema: dict[str, dict[str, str]] = defaultdict(dict)
     for period in wanted:
-        path, (found, reason) = available.get(period), footers.get(period, (None, None))
-        if path is None:
+        if period not in available:
             results[period] = ("UNAVAILABLE", f"no raw file for {period} in {landing}")
             continue
-        if reason:
-            results[period] = ("REJECTED", reason)
+        if period in reasons:
+            results[period] = ("REJECTED", reasons[period])
         else:
-            by_schema[found.json()][period] = path
+            by_schema[found_schemas[period].json()][period] = available[period]
 
     for text, group in by_schema.items():
         results |= _copy(spark, T.StructType.fromJson(json.loads(text)), group, root)
