@@ -226,7 +226,8 @@ def sample(docs: DataFrame, scratch: Scratch, key: str, text: str, language: str
         .filter("language = highest")
         .select("hash", "language")
     )
-    sizes = distinct.groupBy("language").agg(F.count("*").alias("size"))
+    # Stored, so that its true size is known when the join is planned: a row for each language.
+    sizes = scratch.store(distinct.groupBy("language").agg(F.count("*").alias("size")))
     share = F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) / float(1 << 30)
     near = distinct.join(sizes, "language").filter(share * F.col("size") <= 2 * limit + 100)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("hash"), "hash")))
