@@ -690,6 +690,8 @@ ORACLE["schema_gate"] = _bronze(
     FROM (SELECT period, CAST(substr(period, 6, 2) AS INTEGER) % 3 AS m, COUNT(*) AS n FROM bronze GROUP BY ALL)"""
 )
 
+ORACLE["incremental_rollup"] = ORACLE["run_gold"]
+
 # --- Streams, judged by their own logs --------------------------------------------------------------
 
 _HALF = "CASE WHEN tpep_pickup_datetime < TIMESTAMP '1998-01-01' THEN 'first' ELSE 'second' END"

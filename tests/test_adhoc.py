@@ -105,3 +105,15 @@ def test_preview(spark, shop):
     missing = adhoc.table_preview(spark, "shop", "no`table")
     assert missing.row_count is None and missing.sample is None
     assert missing.row_count_error and missing.sample_error
+
+
+def test_guard_of_a_column_agrees(spark):
+    texts = [
+        None, "", " \n\t\x0b\x1c ", "select 1", "SELECT 1;", "  -- note\n/* more */ With x as (select 1) select * from x",
+        "delete from t", "-- select 1", "/* open select 1", "explain select 1", ";", " ; ;", "select 1; select 2",
+        "select ';' as x", "select 1; -- done", "select 1 ; ; ", "--a\n--b\r\nselect 1", "/**//* */select 1", " select 1",
+        "-- " * 5_000 + "\nselect 1", "(select 1)", "values (1)", "/* -- */ select 1 /* ; */",
+    ]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    got = {r["n"]: r["reason"] for r in df.withColumn("reason", adhoc.guard_reason("t")).collect()}
+    assert got == {n: adhoc.sql_guard(t or "") for n, t in enumerate(texts)}

@@ -61,9 +61,9 @@ def sql_guard(text: str) -> str | None:
     return None
 
 
-def guard_reason(text: Column) -> Column:
+def guard_reason(text: Column | str) -> Column:
     """``sql_guard`` over a column of texts, null where a text may be parsed; a null text is an empty one."""
-    text = F.coalesce(text, F.lit(""))
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     blank = r"^[\s\x0B\x1C-\x1F\x85\p{Z}]*$"
     start = F.lower(F.regexp_replace(text, _LEADING_TEXT, ""))
     statements = F.filter(F.split(text, ";"), lambda part: ~part.rlike(blank))

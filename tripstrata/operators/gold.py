@@ -20,6 +20,7 @@ _KEYS = {
     C.PICKUP_ZONE: lambda: F.col(C.PICKUP_ZONE),
     C.DROPOFF_ZONE: lambda: F.col(C.DROPOFF_ZONE),
     C.PICKUP_YEAR_FLAG: lambda: F.col(C.PICKUP_YEAR_FLAG),
+    "period": lambda: F.col("period"),
 }
 ROLLUP_KEYS = ("pickup_date", "pickup_hour", C.PICKUP_ZONE, C.PICKUP_YEAR_FLAG)
 

@@ -12,10 +12,10 @@ from .. import constants as C
 from .. import schemas
 from ..operators import model as fares
 from ..operators.features import publish_online, zone_hour_features
-from ..operators.gold import BUILDERS, trip_rollup
+from ..operators.gold import BUILDERS, ROLLUP_KEYS, trip_rollup
 from ..operators.silver import quality_report, with_outcome
 from ..functions.times import month_range
-from ..sources import lake, runs
+from ..sources import files, lake, runs
 from ..sources.ingest import ingest_bronze, ingest_rollup
 
 
@@ -59,10 +59,38 @@ def run_silver(spark: SparkSession, root: str) -> DataFrame:
 
 
 def refresh_rollup(spark: SparkSession, root: str) -> DataFrame:
-    """Additive totals per date, hour, zone and flag: the only scan of Silver for Gold and features."""
-    path = f"{root}/trip_rollup"
-    trip_rollup(lake.load_silver(spark, root)).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Additive totals per date, hour, zone and flag: the only reading of Silver for Gold and features.
+
+    Totals are kept by period beside the fingerprint of the Silver files they were summed from. Periods
+    whose files are the same are not read again; changed ones are summed and replaced, and those that
+    left Silver are dropped. Fingerprints are taken before the reading and stored after it, so a run that
+    dies, or a period that changes meanwhile, is summed again by the next.
+    """
+    path, silver = f"{root}/trip_rollup", lake.load_silver(spark, root)
+    state, layout = f"{path}/_state", trip_rollup(silver, "period", *ROLLUP_KEYS).schema
+    now = {row["period"]: row["fingerprint"] for row in lake.silver_fingerprints(spark, root).collect()}
+    before: dict[str, str] = {}
+    if files.exists(spark, f"{state}/_SUCCESS"):
+        before = {row["period"]: row["fingerprint"] for row in spark.read.parquet(state).collect()}
+    elif files.exists(spark, path):  # totals of unknown origin
+        files.delete(spark, path)
+    present = {name.removeprefix("period=") for name in files.children(spark, path)}
+    changed = sorted(p for p, fingerprint in now.items() if before.get(p) != fingerprint or p not in present)
+    for gone in present & (set(before) - set(now)):
+        files.delete(spark, f"{path}/period={gone}")
+    if changed:
+        lake.overwrite_partitions(_rollup_of(silver, changed), path, "period")
+    if now != before:
+        rows = spark.createDataFrame(sorted(now.items()), "period string, fingerprint string")
+        rows.coalesce(1).write.mode("overwrite").parquet(state)
+    if not now:
+        return spark.createDataFrame([], layout).drop("period")
+    return spark.read.schema(layout).parquet(path).drop("period")
+
+
+def _rollup_of(silver: DataFrame, periods: list[str]) -> DataFrame:
+    """Totals of some periods; the list prunes the partitions that are read."""
+    return trip_rollup(silver.where(F.col("period").isin(periods)), "period", *ROLLUP_KEYS)
 
 
 def run_gold(

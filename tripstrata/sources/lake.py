@@ -114,10 +114,19 @@ def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).orderBy(*gold_order(name))
 
 
+def silver_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """``(period, fingerprint)`` of the accepted rows' files: names, sizes and times, which a rewrite changes."""
+    files_ = lake_objects(spark, {"silver": [f"{silver_path(root)}/outcome={C.ACCEPTED}"]})
+    period = F.regexp_extract("path", r"/period=(\d{4}-\d{2})/", 1)
+    one = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    grouped = files_.groupBy(period.alias("period")).agg(F.bit_xor(one).alias("_files"), F.count(F.lit(1)).alias("_n"))
+    return grouped.where("period <> ''").select("period", F.format_string("%d-%d", "_n", "_files").alias("fingerprint"))
+
+
 # --- Writing ----------------------------------------------------------------------------------
 
 
-def _overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
+def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*columns).parquet(path)
 
@@ -130,7 +139,7 @@ def write_routed(routed: DataFrame, root: str) -> set[tuple[str, str]]:
     """
     written = Observation()
     key = F.collect_set(F.struct("outcome", "period")).alias("partitions")
-    _overwrite_partitions(routed.observe(written, key), silver_path(root), "outcome", "period")
+    overwrite_partitions(routed.observe(written, key), silver_path(root), "outcome", "period")
     return {(row["outcome"], row["period"]) for row in written.get.get("partitions", [])}
 
 
