@@ -125,6 +125,22 @@ def test_thresholds_of_known_grades():
     assert raw[0] < model.thresholds[0] < raw[1] < model.thresholds[1] < raw[2]
 
 
+def test_sample_is_bounded(spark):
+    """Rows that share an id count once; features beyond the bound stay out, each grade keeps some."""
+    rows = [(1, f"copy {n} of the same document") for n in range(10_000)]
+    rows += [(i, f"word{i} " * 3 + "and some more text") for i in range(2, 40)] + [(40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    whole = hashed_text.labelled_sample(docs, labels, "quality", (0, 1), 100)
+    again = hashed_text.labelled_sample(docs.repartition(3), labels, "quality", (0, 1), 100)
+    assert len(whole) == 39 and np.array_equal(whole.indices, again.indices) and np.array_equal(whole.values, again.values)
+    part = hashed_text.labelled_sample(docs, labels, "quality", (0, 1), 100, max_bytes=8 * 400)
+    assert 2 <= len(part) < len(whole) and set(part.labels.tolist()) == {0, 1} and len(part.indices) <= 400
+    least = hashed_text.labelled_sample(docs, labels, "quality", (0, 1), 100, max_bytes=1)
+    assert len(least) == 2
+    assert len(hashed_text.labelled_sample(docs.limit(0), labels, "quality", (0, 1), 100)) == 0
+
+
 @pytest.mark.parametrize("operator", [quality_rules.assess, ordinal_quality.grade_documents])
 def test_edge_tables(spark, documents, operator):
     labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (1, 0, None), (None, 1, 0), (2, None, 1), (3, 0, 0), (3, 1, 0)], LABELS)

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripstrata.llm import spans
-from tripstrata.llm.tables import Batches, in_arrow
+from tripstrata.llm.tables import Batches, Scratch, in_arrow
 
 #: Buckets of each of the two kinds of n-grams.
 BITS = 16
@@ -24,6 +24,9 @@ BUCKETS = 1 << BITS
 WORD_GRAMS = (1, 2)
 CHAR_GRAMS = (3, 5)
 
+#: Features of a sample on the driver, in bytes, and the pieces in which they come there.
+SAMPLE_BYTES = 128 << 20
+_PIECES = 32
 #: Matrix entries in one step of a product.
 _ENTRIES = 1 << 20
 
@@ -161,21 +164,29 @@ def bounded_labels(labels: DataFrame, grade: str, grades: tuple[int, ...], limit
         .select("doc_id", F.col("grade").cast("int").alias("grade"))
     )
     sizes = {row["grade"]: row["n"] for row in agreed.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    parts = [agreed.filter(F.col("grade") == g).orderBy(order, "doc_id").limit(limit) for g in grades]
+    parts = [agreed.filter(F.col("grade") == g).orderBy(_order(), "doc_id").limit(limit) for g in grades]
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.union(part)
     return chosen, {g: sizes.get(g, 0) for g in grades}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, grades: tuple[int, ...], limit: int) -> Sample:
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    grade: str,
+    grades: tuple[int, ...],
+    limit: int,
+    max_bytes: int = SAMPLE_BYTES,
+) -> Sample:
     """Features of a bounded sample of labelled documents, with weights that restore the share of
     each grade among all labels.
 
-    The ids of the sample are at most ``limit`` for each grade, so they are broadcast; their texts
-    are turned into features where they are read, and only the features come to the driver. Of rows
-    that share an id the one with the smallest text hash is used.
+    The sample has at most ``limit`` documents of each grade, so their ids are broadcast, and at most
+    ``max_bytes`` of features, an equal part for each grade: documents are taken in the order of their
+    ids' hashes, whole, until the part is full (the first one always is). Rows that share an id are
+    reduced to the one with the smallest text hash before features are made. Features are stored in
+    the shared folder and reach the driver piece by piece.
     """
     chosen, sizes = bounded_labels(labels, grade, grades, limit)
 
@@ -188,29 +199,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, grades: tupl
                     [
                         own.column("doc_id"),
                         own.column("grade"),
-                        pa.array([int(x) for x in spans.xxh64(block.data, block.offsets[:-1], np.diff(block.offsets)).view(np.int64)]),
                         pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()),
                         pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary()),
                     ],
-                    ["doc_id", "grade", "text_hash", "indices", "features"],
+                    ["doc_id", "grade", "indices", "features"],
                 )
 
-    joined = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    schema = "doc_id long, grade int, text_hash long, indices binary, features binary"
-    by_id: dict[int, Row] = {}
-    for row in in_arrow(joined.select(F.col("doc_id").cast("long"), "grade", "text"), run, schema).collect():
-        if row["text_hash"] <= by_id.get(row["doc_id"], row)["text_hash"]:
-            by_id[row["doc_id"]] = row
-    kept = [by_id.pop(i) for i in sorted(by_id)]
-    grades_ = np.array([row["grade"] for row in kept], dtype=np.int64)
+    met = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    single = met.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.min("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text")
+    )
+    scratch = Scratch(docs.sparkSession, "sample")
+    schema = "doc_id long, grade int, indices binary, features binary"
+    stored = scratch.store(in_arrow(single, run, schema).repartition(_PIECES, "doc_id"))
+
+    kept = _within(stored, max_bytes // max(len(grades), 1))
+    found = {row["doc_id"]: row for row in stored.filter(F.col("doc_id").isin(kept)).toLocalIterator()} if kept else {}
+    scratch.drop(stored)
+    rows = [found.pop(i) for i in sorted(found)]
+    grades_ = np.array([row["grade"] for row in rows], dtype=np.int64)
     drawn = {g: max(int((grades_ == g).sum()), 1) for g in grades}
     weights = np.array([sizes[g] / drawn[g] for g in grades_.tolist()])
-    indices = [np.frombuffer(row["indices"], "<i4") for row in kept]
-    values = [np.frombuffer(row["features"], "<f4") for row in kept]
-    kept.clear()
+    indices = [np.frombuffer(row["indices"], "<i4") for row in rows]
+    values = [np.frombuffer(row["features"], "<f4") for row in rows]
+    rows.clear()
     return Sample(indices, values, grades_, weights / max(weights.sum(), 1e-12))
 
 
+def _within(stored: DataFrame, part: int) -> list[int]:
+    """The ids of each grade whose features fit into ``part`` bytes, in the order of their hashes; one
+    small row for each document of the sample comes to the driver."""
+    size = (F.octet_length("indices") + F.octet_length("features")).cast("long").alias("size")
+    used: dict[int, int] = {}
+    kept = []
+    for row in stored.select("doc_id", "grade", size, _order().alias("at")).orderBy("at", "doc_id").collect():
+        before = used.get(row["grade"], 0)
+        used[row["grade"]] = before + row["size"]
+        if not before or before + row["size"] <= part:
+            kept.append(row["doc_id"])
+    return kept
+
+
+def _order() -> Column:
+    """The order in which labelled ids enter a sample."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.lit("sample"))
+
+
 def minimise(
     start: np.ndarray, loss: Callable[[np.ndarray], tuple[float, np.ndarray]], rounds: int = 60, memory: int = 8
 ) -> np.ndarray:
