@@ -62,6 +62,22 @@ def test_percentiles_equal_numpy(spark, values):
     assert list(row) == pytest.approx(list(expected), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_percentiles_of_crowded_values(spark, rounds):
+    """All within one step of the logarithm, evenly or beside an outlier; widest range; infinite ends."""
+    draw = np.random.default_rng(3)
+    even = 100 + draw.random(20_000) / 2
+    crowd = np.concatenate([[100.0], 101 + draw.random(20_000) * 1e-9])
+    far = np.array([-1.7e308, -1.0, 0.0, 5e-324, 1.0, 1.7e308] * 3)
+    for values in (even, crowd, far):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        row = exact_percentiles(df, "v", {"p25": 0.25, "p50": 0.5, "p999": 0.999}, rounds=rounds).first()
+        expected = np.quantile(values, [0.25, 0.5, 0.999])
+        assert list(row) == pytest.approx(list(expected), rel=1e-12)
+    ends = _values(spark, [-math.inf, -math.inf, 1.0, 2.0, 3.0, math.inf, math.inf])
+    assert exact_percentiles(ends, "v", {"p50": 0.5}, rounds=rounds).first().p50 == 2.0
+
+
 def test_percentiles_per_group_keep_null_keys(spark):
     rows = [("a", float(n)) for n in range(11)] + [(None, 4.0), (None, 6.0), ("b", None), ("c", -3.0)]
     df = spark.createDataFrame(rows, "k string, v double")
