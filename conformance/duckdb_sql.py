@@ -627,6 +627,26 @@ ORACLE["train_test_split"] = (
 )
 ORACLE["bounded_sample"] = f"SELECT * EXCLUDE (h) FROM ({_hashed(42)}) ORDER BY h LIMIT 3000"
 
+_TRAINED = f"SELECT LEAST(COUNT(*), 300000) AS n FROM ({ORACLE['drop_incomplete']})"
+ORACLE["train_fare_model_signal"] = _silver(
+    """SELECT CAST(LEAST(COUNT(*), 300000) AS BIGINT) AS rows, true AS learned FROM silver
+    WHERE trip_distance IS NOT NULL AND "PULocationID" IS NOT NULL AND "DOLocationID" IS NOT NULL
+      AND passenger_count IS NOT NULL AND tpep_pickup_datetime IS NOT NULL"""
+)
+ORACLE["score_fares_walk"] = _silver(
+    """SELECT trip_distance, "PULocationID", "DOLocationID", passenger_count,
+           CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour, COUNT(*) AS trips, true AS agrees
+    FROM silver GROUP BY ALL"""
+)
+ORACLE["log_run"] = f"""
+    SELECT CAST(n + later AS BIGINT) AS rows, CAST(50 AS BIGINT) AS trees_asked,
+           'trip_distance,PULocationID,DOLocationID,passenger_count,pickup_hour' AS features, true AS has_mae,
+           CAST(50 AS BIGINT) AS trees, CAST(50 AS BIGINT) AS roots, CAST(50 AS BIGINT) AS leaves_over
+    FROM ({_TRAINED}), (VALUES (0), (1)) AS runs(later)"""
+ORACLE["latest_model"] = f"""
+    SELECT CAST(n + 2 AS BIGINT) AS trained_on, scored
+    FROM ({_TRAINED}), ({_silver("SELECT COUNT(*) AS scored FROM silver")})"""
+
 # --- Files of the test tables ---------------------------------------------------------------------
 
 _ALL_TABLES = (

@@ -6,6 +6,7 @@ or struct are flattened, so that results compare by value.
 
 from __future__ import annotations
 
+import operator
 import threading
 import uuid
 from collections.abc import Callable
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from conformance.adhoc_sql import ADHOC
 from tripstrata import constants as C
+from tripstrata import schemas
 from tripstrata.functions.times import expand_months
-from tripstrata.operators import adhoc, dashboards, features, gold, model, profile, replay, runlog, service, silver
+from tripstrata.operators import adhoc, dashboards, features, gold, model, profile, replay, runlog, service, silver, trees
 from tripstrata.plans import pipeline
 from tripstrata.session import shared_dir, stored
 from tripstrata.sources import adapters, ingest, lake
@@ -214,6 +216,71 @@ def _score_fares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*C.MODEL_FEATURES, C.MODEL_TARGET, "predicted_fare")
 
 
+def _logged_model(spark: SparkSession, sf_dir: str, runs: int = 1) -> str:
+    """A folder in which the fitted model was logged; of several runs the latest is logged first."""
+    fitted, result = _trained(spark, sf_dir)
+    root = _folder(spark, "models")
+    for age in reversed(range(runs)):
+        started = result["started_at"] - timedelta(hours=runs - 1 - age)
+        model.log_run(spark, root, fitted, {**result, "started_at": started, "rows": result["rows"] + age})
+    return root
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every set of features of the accepted trips, with what the stored nodes say and whether the model
+    gives exactly that for each of the trips."""
+    root = _logged_model(spark, sf_dir)
+    rows = model.with_pickup_hour(adapters.silver(spark, sf_dir))
+    walked = trees.walk(model.latest_nodes(spark, root), rows)
+    scored = model.score_fares(model.latest_model(spark, root), rows).groupBy(*C.MODEL_FEATURES)
+    spread = scored.agg(F.min("predicted_fare").alias("low"), F.max("predicted_fare").alias("high"))
+    named = spread.select(*(F.col(c).alias(f"m_{c}") for c in C.MODEL_FEATURES), "low", "high")
+    same = reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in C.MODEL_FEATURES))
+    agrees = (F.col("prediction") == F.col("low")) & (F.col("prediction") == F.col("high"))
+    return walked.join(named, same, "left").select(
+        *C.MODEL_FEATURES, F.col("rows").alias("trips"), F.coalesce(agrees, F.lit(False)).alias("agrees")
+    )
+
+
+def _fare_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model on the same trips, at a fare that follows the distance and a surcharge by hour, so that
+    there is something to learn."""
+    fare = F.lit(3.0) + F.col("trip_distance") * 2.5 + F.hour(C.PICKUP) % 3
+    trips_ = adapters.silver(spark, sf_dir).withColumn("fare_amount", fare)
+    _, result = model.train_fare_model(trips_)
+    learned = result["r2"] > 0.85 and result["mae"] <= result["rmse"]
+    return spark.createDataFrame([(result["rows"], learned)], "rows bigint, learned boolean")
+
+
+def _log_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two runs of a log, the models they point to, and their tables of nodes."""
+    root = _logged_model(spark, sf_dir, runs=2)
+    runs = spark.read.schema(schemas.MODEL_RUNS).parquet(f"{root}/model_runs")
+    nodes = spark.read.parquet(f"{root}/model_nodes").groupBy("run_id").agg(
+        F.count_distinct("tree").alias("trees"),
+        F.sum(F.when(F.col("node") == 0, 1)).alias("roots"),
+        # In a binary tree there is one leaf more than inner nodes.
+        F.sum(F.when(F.col("left").isNull(), 1).otherwise(-1)).alias("leaves_over"),
+    )
+    return runs.join(nodes, "run_id").select(
+        "rows",
+        F.get_json_object("params", "$.trees").cast("bigint").alias("trees_asked"),
+        F.get_json_object("params", "$.features").alias("features"),
+        F.get_json_object("metrics", "$.mae").isNotNull().alias("has_mae"),
+        *("trees", "roots", "leaves_over"),
+    )
+
+
+def _latest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of three runs, logged out of order, is the latest, and how many trips its model scores."""
+    root = _logged_model(spark, sf_dir, runs=3)
+    scored = model.score_fares(model.latest_model(spark, root), adapters.silver(spark, sf_dir))
+    return scored.agg(
+        F.lit(model.latest_run(spark, root)["rows"]).cast("bigint").alias("trained_on"),
+        F.count("predicted_fare").alias("scored"),
+    )
+
+
 def _split(trips_: DataFrame) -> DataFrame:
     train, test = model.train_test_split(model.training_rows(trips_))
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -669,7 +736,11 @@ QUERIES: dict[str, Query] = {
     "train_test_split": _on_silver(_split),
     "train_fare_model": _train_fare_model,
     "regression_metrics": _on_silver(_regression_metrics),
+    "train_fare_model_signal": _fare_by_distance,
     "score_fares": _score_fares,
+    "score_fares_walk": _walked,
+    "log_run": _log_run,
+    "latest_model": _latest_model,
     "feature_lookup": _on_silver(_feature_lookup),
     # Profiling
     "profile_shape": _on_bronze(profile.profile_shape),

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import bronze
 from tripstrata import constants as C
-from tripstrata.operators import model, silver
+from tripstrata.operators import model, silver, trees
 from tripstrata.plans import pipeline
 from tripstrata.sources import lake
 
@@ -81,3 +82,57 @@ def test_forest_learns_a_known_fare(spark):
     )
     _, quality = model.train_fare_model(trips)
     assert quality["r2"] > 0.8 and quality["rows"] == 4000
+
+
+_WALK = """
+WITH RECURSIVE nodes AS (SELECT * FROM read_parquet('{nodes}/*.parquet')),
+step AS (
+    SELECT t.id, n.* FROM trips t, nodes n WHERE n.node = 0
+    UNION ALL
+    SELECT t.id, n.* FROM step s JOIN trips t USING (id)
+    JOIN nodes n ON n.tree = s.tree AND n.node = CASE WHEN coalesce(CASE s.feature
+        WHEN 'trip_distance' THEN t.trip_distance WHEN 'PULocationID' THEN t."PULocationID"
+        WHEN 'DOLocationID' THEN t."DOLocationID" WHEN 'passenger_count' THEN t.passenger_count
+        WHEN 'pickup_hour' THEN t.pickup_hour END, 'nan'::DOUBLE) <= s.bound THEN s."left" ELSE s."right" END
+    WHERE s.feature IS NOT NULL
+)
+SELECT id, avg(value) FROM step WHERE feature IS NULL GROUP BY id ORDER BY id"""
+
+
+def test_another_engine_walks_the_stored_nodes(spark, lake_root):
+    run_id = pipeline.run_training(spark, lake_root)["run_id"]
+    assert model.latest_run(spark, lake_root)["run_id"] == run_id
+    trips = model.with_pickup_hour(lake.load_silver(spark, lake_root)).select(*C.MODEL_FEATURES).distinct()
+    numbered = trips.withColumn("id", F.monotonically_increasing_id())
+    scored = model.score_fares(model.latest_model(spark, lake_root), numbered).orderBy("id").toPandas()
+    duck = duckdb.connect()
+    duck.register("trips", scored)
+    walked = duck.sql(_WALK.format(nodes=model.nodes_path(lake_root, run_id))).fetchall()
+    assert [row[0] for row in walked] == scored["id"].tolist() and len(walked) > 1000
+    assert [row[1] for row in walked] == pytest.approx(scored["predicted_fare"].tolist(), abs=1e-9)
+
+
+def _stump(spark, *more):
+    rows = [(0, 0, "trip_distance", 2.0, 1, 2, 5.0, 9), (0, 1, None, None, None, None, 1.0, 4), (0, 2, *more)]
+    schema = "tree int, node int, feature string, bound double, `left` int, `right` int, value double, rows bigint"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_walk_edges(spark):
+    stump = _stump(spark, None, None, None, None, 7.0, 5)
+    shape = "trip_distance double, PULocationID int, DOLocationID int, passenger_count double, pickup_hour int, node string"
+    at = [2.0, 2.1, None, float("nan"), 2.0]
+    rows = spark.createDataFrame([(value, 1, None, 1.0, 3, "x") for value in at], shape)
+    got = trees.walk(stump, rows, trees=1, depth=3).select(F.col("trip_distance").cast("string"), "rows", "prediction")
+    assert set(map(tuple, got.collect())) == {("2.0", 2, 1.0), ("2.1", 1, 7.0), (None, 1, 7.0), ("NaN", 1, 7.0)}
+    assert trees.walk(stump, rows.limit(0), trees=1, depth=3).count() == 0
+    assert trees.walk(stump.limit(0), rows, trees=1, depth=3).count() == 0
+    deeper = _stump(spark, "passenger_count", 1.0, 3, 4, 7.0, 5)
+    with pytest.raises(Exception, match="deeper than 1"):
+        trees.walk(deeper, rows, trees=1, depth=1).collect()
+
+
+def test_hash_takes_values_beyond_a_long(spark):
+    rows = spark.createDataFrame([(1e300,), (float("inf"),), (-2e11,), (None,), (0.5,)], "a double")
+    train, test = model.train_test_split(rows)
+    assert train.count() + test.count() == 5

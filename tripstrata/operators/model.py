@@ -9,13 +9,14 @@ from datetime import datetime, timezone
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import schemas
 from ..session import shared_dir
 from ..sources import files
+from . import trees
 
 
 def with_pickup_hour(trips: DataFrame) -> DataFrame:
@@ -29,8 +30,12 @@ def training_rows(silver: DataFrame) -> DataFrame:
 
 def _row_hash(df: DataFrame, seed: int) -> Column:
     """A hash of a row's values (numbers to 1e-8) and the seed; the same wherever it is computed."""
-    values = [F.rint(F.col(f"`{c}`").cast("double") * F.lit(1e8)).cast("bigint").cast("string") for c in df.columns]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(v, F.lit("-")) for v in values]))
+    values = []
+    for column in df.columns:
+        units = F.rint(F.col(f"`{column}`").cast("double") * F.lit(1e8))
+        # Beyond a long the double stands for itself.
+        values.append(F.coalesce(units.try_cast("bigint").cast("string"), units.cast("string"), F.lit("-")))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *values))
 
 
 def _share(row_hash: Column) -> Column:
@@ -66,7 +71,7 @@ def train_test_split(
 
 def forest() -> Pipeline:
     assembler = VectorAssembler(inputCols=list(C.MODEL_FEATURES), outputCol="features", handleInvalid="keep")
-    trees = RandomForestRegressor(
+    regressor = RandomForestRegressor(
         featuresCol="features",
         labelCol=C.MODEL_TARGET,
         predictionCol="prediction",
@@ -76,7 +81,7 @@ def forest() -> Pipeline:
         maxMemoryInMB=C.MODEL_PASS_MEMORY_MB,
         cacheNodeIds=True,
     )
-    return Pipeline(stages=[assembler, trees])
+    return Pipeline(stages=[assembler, regressor])
 
 
 def regression_metrics(
@@ -109,13 +114,16 @@ def train_fare_model(silver: DataFrame, n: int | None = C.MODEL_SAMPLE_ROWS) ->
 
 
 def log_run(spark: SparkSession, root: str, model: PipelineModel, result: dict) -> str:
-    """Save the model under a new run id and append parameters and metrics to the runs table.
+    """Save the model and its table of nodes under a new run id, then append parameters and metrics to the
+    runs table, which makes the run known: one that fails before leaves no run.
 
     A run counts from ``result["started_at"]``, the time before the fit; now, if that is missing.
     """
     run_id = uuid.uuid4().hex
     path = f"{root}/models/{run_id}"
     model.save(path)
+    # A model has no more nodes than its trees and depth allow, whatever it was fitted on.
+    trees.stored_nodes(spark, path).coalesce(1).sortWithinPartitions("tree", "node").write.parquet(nodes_path(root, run_id))
     params = {
         "trees": C.MODEL_TREES,
         "depth": C.MODEL_DEPTH,
@@ -131,16 +139,30 @@ def log_run(spark: SparkSession, root: str, model: PipelineModel, result: dict)
     return run_id
 
 
-def latest_model(spark: SparkSession, root: str) -> PipelineModel:
-    """The model of the most recently started run."""
+def nodes_path(root: str, run_id: str) -> str:
+    return f"{root}/model_nodes/run_id={run_id}"
+
+
+def latest_run(spark: SparkSession, root: str) -> Row:
+    """The most recently started run; of runs that started together, the one with the greatest id."""
     path = f"{root}/model_runs"
     newest = None
     if files.exists(spark, path):
         runs = spark.read.schema(schemas.MODEL_RUNS).parquet(path)
-        newest = runs.agg(F.max_by("model_path", F.struct("started_at", "run_id"))).first()[0]
+        newest = runs.agg(F.max_by(F.struct("*"), F.struct("started_at", "run_id")).alias("run")).first()["run"]
     if newest is None:
         raise LookupError(f"no trained model under {root}; run the training first")
-    return PipelineModel.load(newest)
+    return newest
+
+
+def latest_model(spark: SparkSession, root: str) -> PipelineModel:
+    """The model of the latest run."""
+    return PipelineModel.load(latest_run(spark, root)["model_path"])
+
+
+def latest_nodes(spark: SparkSession, root: str) -> DataFrame:
+    """The latest run's table of nodes, as ``trees.walk`` takes it."""
+    return spark.read.parquet(nodes_path(root, latest_run(spark, root)["run_id"]))
 
 
 def score_fares(model: PipelineModel, trips: DataFrame, decimals: int | None = None) -> DataFrame:
