@@ -58,7 +58,12 @@ def walk(
     without nodes there are none.
     """
     different = rows.groupBy(*(F.col(f"`{c}`") for c in features)).agg(F.count(F.lit(1)).alias("n_rows"))
-    at = different.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(0))
+    # Each set becomes as many rows as there are trees, so a shuffle of few sets must not end in one task.
+    # The other order of columns keeps this shuffle from being taken for the one before it; the sum over
+    # the trees at the end needs none of its own.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = different.repartition(tasks, *(F.col(f"`{c}`") for c in reversed(features)))
+    at = spread.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(0))
     kept = [*features, "n_rows", "tree"]
     goes_left = _feature_value(features) <= F.col("bound")
     following = F.when(F.col("left").isNull(), F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
