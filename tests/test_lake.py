@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,26 @@ def test_nan_becomes_null_on_read(spark, tmp_path):
     ingest_bronze(spark, landing, root)
     assert lake.load_bronze(spark, root).first().trip_distance is None
     assert set(BASE) == set(lake.load_bronze(spark, root).columns)
+
+
+def test_silver_files_are_in_order_of_pickup(spark, lake_root):
+    parts = sorted(Path(f"{lake_root}/silver").rglob("*.parquet"))
+    folders = [tuple(folder.name for folder in part.parents)[:2] for part in parts]
+    assert {outcome for _, outcome in folders} >= {f"outcome={C.ACCEPTED}"} and len(parts) > 5
+    for part in parts:
+        pickups = [at for at in pq.ParquetFile(part).read([C.PICKUP])[C.PICKUP].to_pylist() if at is not None]
+        assert pickups == sorted(pickups)
+
+
+def test_partitioned_write_sorts_once(spark, small, tmp_path):
+    """The order of the files costs no sort beside the one that partitioned writes need."""
+    seen = []
+    listened = spark._jsparkSession.sharedState().statusStore()
+    before = listened.executionsList().size()
+    lake.write_routed(silver.with_outcome(adapters.bronze(spark, small)), str(tmp_path))
+    for at in range(before, listened.executionsList().size()):
+        text = listened.executionsList().apply(at).physicalPlanDescription()
+        if "InsertIntoHadoopFsRelationCommand" in text:
+            final = text.split("== Initial Plan ==")[0]
+            seen.append(sum(1 for line in final.splitlines() if "- Sort" in line or "* Sort" in line))
+    assert seen == [1]

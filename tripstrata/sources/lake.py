@@ -134,12 +134,15 @@ def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
 def write_routed(routed: DataFrame, root: str) -> set[tuple[str, str]]:
     """Store every row once, in the partition of its outcome and period; returns those partitions.
 
-    No shuffle: input splits lie within a period, so a task writes a few files at most. The
-    partitions are observed while rows are written, one entry per outcome and period.
+    No shuffle: input splits lie within a period, so a task writes a few files at most. Rows of a file
+    are in the order of their pickup, so a reader of few days skips most row groups; the write would sort
+    rows by partition anyway, so this is the same sort with a longer key. The partitions are observed
+    while rows are written, one entry per outcome and period.
     """
     written = Observation()
     key = F.collect_set(F.struct("outcome", "period")).alias("partitions")
-    overwrite_partitions(routed.observe(written, key), silver_path(root), "outcome", "period")
+    ordered = routed.observe(written, key).sortWithinPartitions("outcome", "period", C.PICKUP)
+    overwrite_partitions(ordered, silver_path(root), "outcome", "period")
     return {(row["outcome"], row["period"]) for row in written.get.get("partitions", [])}
 
 
