@@ -8,11 +8,18 @@ prediction is the mean of the leaves that a row ends in, summed in the order of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from typing import TYPE_CHECKING
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 _KEY = ("tree", "node")
 
 
@@ -36,13 +43,6 @@ def stored_nodes(spark: SparkSession, model_path: str, features: tuple[str, ...]
     )
 
 
-def _feature_value(features: tuple[str, ...]) -> Column:
-    chosen = F.lit(None).cast("double")
-    for name in features:
-        chosen = F.when(F.col("feature") == name, F.col(f"`{name}`")).otherwise(chosen)
-    return F.coalesce(chosen.cast("double"), F.lit(float("nan")))
-
-
 def walk(
     nodes: DataFrame,
     rows: DataFrame,
@@ -52,30 +52,58 @@ def walk(
 ) -> DataFrame:
     """The features, ``rows`` (how many have them) and ``prediction`` for each different set of features.
 
-    One join with the nodes a level, on tree and node, each row going down from the roots; rows in a
-    leaf stay. Equal rows walk once. ``depth`` must be that of the deepest tree or more: a row that has not
-    reached a leaf by then fails the query, it does not get an inner node's value. Without rows or
-    without nodes there are none.
+    Equal rows walk once. Each task takes its sets down all trees at once, a level at a time; the nodes go
+    with it, as their number follows trees and depth, not the rows. ``depth`` must be that of the deepest
+    tree or more: a row that has not reached a leaf by then fails the query, it does not get an inner node's
+    value. Without rows or without nodes there are none.
     """
-    different = rows.groupBy(*(F.col(f"`{c}`") for c in features)).agg(F.count(F.lit(1)).alias("n_rows"))
-    # Each set becomes as many rows as there are trees, so a shuffle of few sets must not end in one task.
-    # The other order of columns keeps this shuffle from being taken for the one before it; the sum over
-    # the trees at the end needs none of its own.
+    different = rows.groupBy(*(F.col(f"`{c}`") for c in features)).agg(F.count(F.lit(1)).alias("rows"))
+    found = nodes.where(F.col("tree").between(0, trees - 1)).select(*_KEY, "feature", "bound", "left", "right", "value")
+    descend = _descent(found.orderBy(*_KEY).toPandas(), depth, features)
+    shape = T.StructType([*different.schema.fields, T.StructField("prediction", T.DoubleType())])
+    # A shuffle of few sets must not end in one task; the other order of columns keeps this one from being
+    # taken for the one before it.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = different.repartition(tasks, *(F.col(f"`{c}`") for c in reversed(features)))
-    at = spread.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(0))
-    kept = [*features, "n_rows", "tree"]
-    goes_left = _feature_value(features) <= F.col("bound")
-    following = F.when(F.col("left").isNull(), F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
-    inner = nodes.select(*_KEY, "feature", "bound", "left", "right")
-    for _ in range(depth):
-        at = at.join(inner, [*_KEY]).select(*(F.col(f"`{c}`") for c in kept), following.alias("node"))
-    ended = at.join(nodes.select(*_KEY, "left", "value"), [*_KEY])
-    leaf = F.when(F.col("left").isNull(), F.col("value")).otherwise(
-        F.raise_error(F.lit(f"a tree is deeper than {depth}")).cast("double")
-    )
-    grouped = ended.groupBy(*(F.col(f"`{c}`") for c in features)).agg(
-        F.max("n_rows").alias("rows"), F.array_sort(F.collect_list(F.struct("tree", leaf.alias("value")))).alias("leaves")
+    return spread.mapInArrow(descend, shape)
+
+
+def _descent(table: pd.DataFrame, depth: int, features: tuple[str, ...]) -> Callable:
+    """The function that adds ``prediction`` to batches; it holds the nodes, in order of tree and node, as arrays."""
+    import numpy as np
+
+    tree, node = table["tree"].to_numpy("int64"), table["node"].to_numpy("int64")
+    span = int(node.max()) + 1 if len(node) else 1
+    key, here = tree * span + node, np.arange(len(table))
+    leaf = table["left"].isna().to_numpy()
+    # A leaf leads to itself, so rows that have arrived stay while others go on.
+    left, right = (
+        np.where(leaf, here, np.searchsorted(key, tree * span + table[side].fillna(0).to_numpy("int64")))
+        for side in ("left", "right")
     )
-    total = F.aggregate("leaves", F.lit(0.0), lambda done, one: done + one["value"])
-    return grouped.withColumn("prediction", total / F.size("leaves")).drop("leaves")
+    place = table["feature"].map({name: at for at, name in enumerate(features)}).fillna(0).to_numpy("int64")
+    bound, value = table["bound"].to_numpy("float64"), table["value"].to_numpy("float64")
+    roots = here[node == 0]
+
+    def descend(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not len(roots) or not batch.num_rows:
+                continue
+            columns = [batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(len(features))]
+            given = np.column_stack(columns)
+            at = np.repeat(roots[None, :], batch.num_rows, axis=0)
+            for _ in range(depth):
+                goes_left = np.take_along_axis(given, place[at], axis=1) <= bound[at]
+                at = np.where(goes_left, left[at], right[at])
+            if not leaf[at].all():
+                raise ValueError(f"a tree is deeper than {depth}")
+            total = np.zeros(batch.num_rows)
+            for ended in at.T:
+                total += value[ended]
+            names = [*batch.schema.names, "prediction"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / len(roots))], names)
+
+    return descend
