@@ -105,6 +105,7 @@ def to_events(trips: DataFrame) -> DataFrame:
 
 _STAGED, _MANIFESTS = "_staged", "_manifests"
 _MOVES_AT_A_TIME = 16
+_EVENTS_PER_FILE = 1_000_000
 
 
 def content_id(events: DataFrame) -> str:
@@ -116,11 +117,18 @@ def content_id(events: DataFrame) -> str:
     return events.agg(digest.alias("id")).first()["id"]
 
 
-def stage_publish(events: DataFrame, path: str, publish_id: str) -> None:
-    """Write the events beside the topic and, when they are complete, the list of their files."""
+def stage_publish(events: DataFrame, path: str, publish_id: str, compression: str | None = None) -> None:
+    """Write the events beside the topic and, when they are complete, the list of their files.
+
+    Events name every field, so a compressed file is a small part of the plain one; readers take both. As
+    one task reads a compressed file whole, such files hold a bounded number of events.
+    """
     spark = events.sparkSession
     staged = f"{path}/{_STAGED}/{publish_id}"
-    events.write.mode("overwrite").text(staged)
+    writer = events.write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression).option("maxRecordsPerFile", _EVENTS_PER_FILE)
+    writer.text(staged)
     names = [name for name in files.children(spark, staged) if not name.startswith(("_", "."))]
     files.write_text(spark, f"{path}/{_MANIFESTS}/{publish_id}", "\n".join(names))
 
@@ -142,14 +150,19 @@ def finish_publish(spark: SparkSession, path: str, publish_id: str) -> None:
 
 
 def replay_publish(
-    trips: DataFrame, path: str | None = None, brokers: str | None = None, publish_id: str | None = None
+    trips: DataFrame,
+    path: str | None = None,
+    brokers: str | None = None,
+    publish_id: str | None = None,
+    compression: str | None = None,
 ) -> str | None:
     """Put the events into a folder that stands for the topic, once, or send them to Kafka.
 
     A publish has an id, by default one made of the events themselves, and each id enters the topic
     once however often it is published: files appear there only after all of them and their list are
     stored, and an attempt that died is taken up at the list. Give an id of your own to replay the same
-    trips again. Kafka gives no such promise; consumers there see a repeated publish twice.
+    trips again. ``compression`` names a codec for the files, such as gzip. Kafka gives no such promise;
+    consumers there see a repeated publish twice.
     """
     events = to_events(trips)
     if brokers:
@@ -162,7 +175,7 @@ def replay_publish(
     manifest = f"{path}/{_MANIFESTS}/{publish_id}"
     if not files.exists(spark, f"{manifest}.done"):
         if not files.exists(spark, manifest):
-            stage_publish(events, path, publish_id)
+            stage_publish(events, path, publish_id, compression)
         finish_publish(spark, path, publish_id)
     return publish_id
 

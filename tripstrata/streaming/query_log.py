@@ -81,7 +81,9 @@ def audit_files(spark: SparkSession, checkpoint: str, topic: str) -> DataFrame:
 
     A query that lost nothing and repeated nothing shows one batch, committed, for each file in the topic.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(topic).select(path_key(F.col("path")).alias("file"))
+    # Names, not rows: a read skips files without a byte, which a stream is given like any other.
+    names = spark.read.option("recursiveFileLookup", "true").text(topic).inputFiles()
+    listed = spark.createDataFrame([(name,) for name in names], "path string").select(path_key(F.col("path")).alias("file"))
     done = stream_batches(spark, checkpoint).where("committed").select(F.col("batch_id").alias("_done"))
     logged = source_files(spark, checkpoint).join(done, F.col("batch_id") == F.col("_done"), "left")
     counted = logged.groupBy(path_key(F.col("path")).alias("file")).agg(
